@@ -14,6 +14,23 @@ _EDGES = """
     g AS (SELECT x AS chapter_id, min(y) AS group_id FROM r GROUP BY x)"""
 
 
+_LEAKS = """
+    w AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS words FROM (SELECT DISTINCT doc_id, text FROM documents)
+          UNION ALL
+          SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') FROM (SELECT DISTINCT item_id, text FROM eval_items)),
+    s AS (SELECT DISTINCT side, id, array_to_string(words[k : k + 13], ' ') AS run FROM (SELECT side, id, words, unnest(range(1, len(words) - 12)) AS k FROM w WHERE len(words) >= 14)),
+    f AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM s d JOIN s i USING (run) WHERE d.side = 'd' AND i.side = 'i')"""
+
+_FILES = """
+    b AS (SELECT DISTINCT 0 AS o, kb_id AS id, body FROM kb_entries UNION SELECT DISTINCT 1, file_id, body FROM incoming_files),
+    w AS (SELECT o, id, list_filter(regexp_split_to_array(lower(regexp_replace(body, '<[/!]?[A-Za-z\\-][^<>]*>', ' ', 'g')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS words FROM b),
+    s AS (SELECT DISTINCT o, id, array_to_string(words[k : k + 4], ' ') AS run FROM (SELECT o, id, words, unnest(range(1, len(words) - 3)) AS k FROM w WHERE len(words) >= 5)),
+    n AS (SELECT o, id, count(*) AS n FROM s GROUP BY o, id),
+    p AS (SELECT x.id AS file_id, y.o, y.id, count(*) AS both FROM s x JOIN s y USING (run) WHERE x.o = 1 AND (y.o, y.id) < (x.o, x.id) GROUP BY 1, 2, 3),
+    m AS (SELECT p.file_id, min((p.o, p.id)) AS first FROM p JOIN n a ON a.o = 1 AND a.id = p.file_id JOIN n b ON b.o = p.o AND b.id = p.id
+          WHERE 2 * p.both >= a.n + b.n - p.both GROUP BY 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": """
@@ -21,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT 'segmented_sources', source_id, c.chapter_index FROM (SELECT source_id, unnest(chapters) AS c FROM segmented_sources)
             WHERE length(c.content) > 4000""",
+        "p4_found": f"WITH {_FILES} SELECT file_id, CASE WHEN first[1] = 1 THEN 'incoming_files' ELSE 'kb_entries' END AS match_origin, first[2] AS match_id FROM m",
         "p6_found": f"""
             WITH RECURSIVE {_EDGES},
             t AS (SELECT lower(source_type) AS kind, min(trust_rank) AS r FROM source_trust GROUP BY 1),
@@ -33,4 +51,9 @@ def oracle_sql() -> dict[str, str]:
                    arg_min(chapter_id, (r, chapter_id)) AS source_from
             FROM k GROUP BY group_id""",
         "p7_found": f"WITH RECURSIVE {_EDGES} SELECT chapter_id, group_id FROM g",
+        "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM f",
+        "p8_items": f"""
+            WITH {_LEAKS}
+            SELECT e.item_id, e.suite, count(f.doc_id) AS n_documents FROM (SELECT DISTINCT item_id, suite FROM eval_items) e
+            LEFT JOIN f USING (item_id) GROUP BY 1, 2""",
     }

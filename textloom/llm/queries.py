@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import components, forms, markup, pieces, survivors
+from textloom.llm import components, forms, history, leaks, markup, pieces, survivors
 from textloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("n_pieces > 1").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_files(table(spark, d, "kb_entries"), table(spark, d, "incoming_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     items = forms.text_items(table(spark, d, "chapters"), table(spark, d, "source_documents"))
     return forms.normalise(items, text=False).select("origin", "item_id", F.explode("char_kinds").alias("char_kind")).distinct()
@@ -70,5 +74,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item with the number of documents that hold a passage of it, nought included."""
+    found = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "eval_items").select("item_id", "suite").distinct().join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found, p8_found, p8_items)}
