@@ -15,15 +15,15 @@ _EDGES = """
 
 
 _LEAKS = """
-    w AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS words FROM (SELECT DISTINCT doc_id, text FROM documents)
+    w AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM (SELECT DISTINCT doc_id, text FROM documents)
           UNION ALL
-          SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') FROM (SELECT DISTINCT item_id, text FROM eval_items)),
+          SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') FROM (SELECT DISTINCT item_id, text FROM eval_items)),
     s AS (SELECT DISTINCT side, id, array_to_string(words[k : k + 13], ' ') AS run FROM (SELECT side, id, words, unnest(range(1, len(words) - 12)) AS k FROM w WHERE len(words) >= 14)),
     f AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM s d JOIN s i USING (run) WHERE d.side = 'd' AND i.side = 'i')"""
 
 _FILES = """
     b AS (SELECT DISTINCT 0 AS o, kb_id AS id, body FROM kb_entries UNION SELECT DISTINCT 1, file_id, body FROM incoming_files),
-    w AS (SELECT o, id, list_filter(regexp_split_to_array(lower(regexp_replace(body, '<[/!]?[A-Za-z\\-][^<>]*>', ' ', 'g')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS words FROM b),
+    w AS (SELECT o, id, list_filter(regexp_split_to_array(lower(regexp_replace(body, '<[/!]?[A-Za-z\\-][^<>]*>', ' ', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM b),
     s AS (SELECT DISTINCT o, id, array_to_string(words[k : k + 4], ' ') AS run FROM (SELECT o, id, words, unnest(range(1, len(words) - 3)) AS k FROM w WHERE len(words) >= 5)),
     n AS (SELECT o, id, count(*) AS n FROM s GROUP BY o, id),
     p AS (SELECT x.id AS file_id, y.o, y.id, count(*) AS both FROM s x JOIN s y USING (run) WHERE x.o = 1 AND (y.o, y.id) < (x.o, x.id) GROUP BY 1, 2, 3),
