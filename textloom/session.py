@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,21 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a context, so that they need no path to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    handle, name = tempfile.mkstemp(prefix="textloom-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(name)
+    sc._textloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
