@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import components, forms, history, leaks, markup, pieces, survivors
+from textloom.llm import components, forms, history, leaks, markup, pieces, quality, subjects, survivors
 from textloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Language, statistics, outlier score and class of every text."""
+    return quality.classify(table(spark, d, "source_documents"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_statistics(spark, d).where("text_class <> 'prose'").select("source_id", "text_class").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     items = markup.text_items(table(spark, d, "chapters"), table(spark, d, "kb_entries"))
     return markup.read_markup(items, clean=False).select("origin", "item_id", F.explode("markup").alias("markup")).distinct()
@@ -84,5 +93,13 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").distinct().join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_samples"), table(spark, d, "subject_areas"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(p10_found(spark, d), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found, p8_found, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found, p8_found, p8_items, p10_found, p10_composition)}
