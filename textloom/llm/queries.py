@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import components, forms, history, leaks, markup, pieces, quality, subjects, survivors
+from textloom.llm import components, forms, history, leaks, markup, mixture, pieces, quality, subjects, survivors
 from textloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").distinct().join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the mixture and how often each is used."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_samples"), table(spark, d, "subject_areas"))
 
@@ -102,4 +112,4 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found, p8_found, p8_items, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_composition)}
