@@ -1 +1 @@
-"""Part of textloom."""
+"""Operators that are more than one column expression."""
