@@ -99,7 +99,11 @@ def loose_pairs(classes: DataFrame, title: float = 0.5, content: float = 0.3) ->
     by_content = self_candidates(classes.where(F.size("members") > 0), "members", content)
     titles = classes.groupBy("words").agg(F.min("id").alias("id")).where(F.size("words") > 0)
     # classes of one title as a star around the lowest, titles among each other by their lowest
-    by_title = self_candidates(titles, "words", title)
+    met = self_candidates(titles, "words", title)
+    by_title = (
+        met.join(titles.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(titles.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+        .where(T.jaccard(F.col("wa"), F.col("wb")) >= title).select("a", "b")
+    )
     same = classes.join(titles.select("words", F.col("id").alias("a")), "words").where("id > a").select("a", F.col("id").alias("b"))
     pairs = by_content.withColumn("titled", F.lit(False)).union(by_title.union(same).withColumn("titled", F.lit(True)))
     for empty in ("members", "words"):

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import matching, texts
+from textloom.plans import chat, matching, retrieval, texts, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (texts, matching)
+PARTS = (texts, matching, versions, chat, retrieval)
 
 
 def queries() -> dict[str, Query]:
