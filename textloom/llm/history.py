@@ -4,7 +4,7 @@ Every record has BANDS sort keys, each made of DEPTH minima of its set of five-w
 under different hash functions, so that similar records are likely to have the same key.
 The keys of all accepted records are kept as sorted runs in a folder. A new batch brings a
 run of its own; of the history only the key ranges around the new records are read. In a
-range, new records are first compared with the oldest record, HEADS times over, which
+range, new records are first compared with the oldest record, HEADS times in a row, which
 settles the members of large families of copies; the ones that may still find something
 older are then compared with all that came before. Runs are merged into one when there are
 many.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textloom.llm.tables import filled
 from textloom.llm.words import distinct_sets, hash_words, mix, owners, runs
@@ -32,7 +33,7 @@ from textloom.session import Workspace
 
 BANDS = 48
 DEPTH = 3
-HEADS = 2
+HEADS = 1
 #: Of BANDS * DEPTH bits, so many must agree; unlike texts agree in a half.
 AGREE = 96
 SIMILARITY = 0.5
@@ -43,7 +44,8 @@ _FACTORS = mix(np.arange(1, DEPTH * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def features(records: DataFrame) -> DataFrame:
-    """Columns age, sets (hash of the whole set), size, keys, bits (a sketch) and members (the set's hashes as bytes).
+    """Columns age, sets (hash of the whole set), size, keys, bits (a sketch) and members
+    (the upper halves of the set's hashes, ascending, as bytes).
 
     ``records`` has age and body; records without a five-word run have no row.
     """
@@ -65,7 +67,8 @@ def features(records: DataFrame) -> DataFrame:
                             least = mix(np.minimum.reduceat(values * _FACTORS[b * DEPTH + k], begins))
                             keys[:, b] = mix(keys[:, b] + least + np.uint64(b))
                             bits[:, k] |= (least & np.uint64(1)) << np.uint64(b)
-            raw = [values[begins[k] : begins[k] + sizes[some[k]]].tobytes() for k in range(len(some))]
+            short = (values >> np.uint64(32)).astype(np.uint32)
+            raw = [short[begins[k] : begins[k] + sizes[some[k]]].tobytes() for k in range(len(some))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("age").take(pa.array(some)),
@@ -82,14 +85,14 @@ def features(records: DataFrame) -> DataFrame:
     return records.where(filled("body") & F.col("age").isNotNull()).select("age", body.alias("body")).mapInArrow(run, "age long, sets long, size int, keys array<long>, bits array<long>, members binary")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity(a, b):  # noqa: ANN001, ANN202
     import pandas as pd
 
     out = np.empty(len(a))
     for i, (x, y) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
+        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        both = len(np.intersect1d(x, y))
         out[i] = both / (len(x) + len(y) - both)
     return pd.Series(out)
 
@@ -136,10 +139,11 @@ class History:
         before = old.select("sets", "size", F.col("age").alias("earlier"))
         classes = ws.put(first.join(before, ["sets", "size"], "left").select("sets", "size", F.coalesce("earlier", "age").alias("rep"), F.col("earlier").isNull().alias("fresh")), f"classes-{n}")
         fresh = classes.where("fresh")
-        reps = new.join(fresh.select(F.col("rep").alias("age"), "sets"), ["age", "sets"], "left_semi")
+        reps = ws.put(new.join(fresh.select(F.col("rep").alias("age"), "sets"), ["age", "sets"], "left_semi"), f"reps-{n}")
         keys = reps.select("age", F.explode("keys").alias("key")).distinct()
         own = ws.put(keys.repartitionByRange("key").sortWithinPartitions("key", "age"), f"run-{n}")
         sets = ws.put(reps.select("age", "sets", "size", "bits", "members").dropDuplicates(["age"]), f"sets-{n}")
+        ws.drop(f"reps-{n}")
         best = self._compare(own, sets, old, similarity) if match else None
         self.runs.append(own)
         self.sets.append(sets)
