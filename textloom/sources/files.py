@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import text as T
 from textloom.session import ship
@@ -25,7 +26,7 @@ DOCUMENT = "path string, filename string, source_type string, size_bytes long, p
 SKIPPED = re.compile(r"toc|nav|cover|title|copyright|colophon|index", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Entities decoded; the JVM has no function for it."""
     return s.map(lambda x: html.unescape(x) if x is not None else None)
@@ -146,7 +147,7 @@ def read_chat(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("timestamp timestamp, role string, message string, mood string, model string").json(path, multiLine=True, mode="DROPMALFORMED").where("role is not null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_markdown(s: pd.Series) -> pd.Series:
     return s.map(lambda x: to_markdown(x) if x is not None else None)
 
