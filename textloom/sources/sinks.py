@@ -17,7 +17,7 @@ def front_matter(fields: dict[str, Column]) -> Column:
 def distinct_names(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Names that are taken already get the row's place among their likes before the ending."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn("_k", k).withColumn(name, F.when(F.col("_k") == 1, F.col(name)).otherwise(F.regexp_replace(F.col(name), r"(\.[^.]*)?$", F.concat(F.lit("_"), F.col("_k").cast("string"), F.lit("$1"))))).drop("_k")
+    return df.withColumn("_k", k).withColumn(name, F.when(F.col("_k") == 1, F.col(name)).otherwise(F.regexp_replace(F.col(name), r"(?s)^(.*?)(\.[^.]*)?$", F.concat(F.lit("$1_"), F.col("_k").cast("string"), F.lit("$2"))))).drop("_k")
 
 
 def write_posts(posts: DataFrame, path: str) -> None:
