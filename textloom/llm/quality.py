@@ -50,8 +50,13 @@ HOT = 256
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
+DIGIT = re.compile(r"\d")
+ALNUM = re.compile(r"[^\W_]+")
+SIGN = re.compile(r"[^\w\s]|_")
 END = re.compile(r"[.!?…;:][\"'»“”’)\]]*$")
 STOP = re.compile(r"(?<![\d.])[.!?…]+[\"'»“”’)\]]*$|\d[.!?]$")
+#: Characters that a match of STOP ends with.
+STOPS = frozenset(".!?…\"'»“”’)]")
 MARK = re.compile(r"(?:[-–—*•·>+]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[A-Za-z]{1,2}\))\s+\S")
 LEADERS = re.compile(r"\.{4,}\s*\d+$|(?:\. ){4,}\s*\d+$")
 ENTRY = re.compile(r"[^\s:]+(?: [^\s:]+)?: \S")
@@ -76,23 +81,28 @@ def line_class(line: str) -> str:
     n = len(tokens)
     words = WORD.findall(bare)
     letters = sum(map(len, words))
-    broken = len(BROKEN.findall(bare))
+    visible = sum(map(len, tokens))
+    longest = max(map(len, tokens))
+    numbered = DIGIT.search(bare) is not None
+    broken = len(BROKEN.findall(bare)) if letters < visible else 0
     if broken >= 2 and broken >= 0.04 * len(bare):
         return "junk"
-    if CSS.search(bare) or MENU.search(bare):
+    if ("{" in bare or "}" in bare) and CSS.search(bare) or ("<" in bare or ">" in bare or "^" in bare) and MENU.search(bare):
         return "junk"
-    if n >= 4 and sum(bool(HEX.match(t)) for t in tokens) >= 0.9 * n:
+    if n >= 4 and longest <= 9 and sum(bool(HEX.match(t)) for t in tokens) >= 0.9 * n:
         return "junk"
-    if n >= 2 and sum(bool(CODE.match(t)) for t in tokens) >= 0.6 * n and "\t" not in line and ";" not in bare:
+    if n >= 2 and numbered and sum(bool(CODE.match(t)) for t in tokens) >= 0.6 * n and "\t" not in line and ";" not in bare:
         return "junk"
-    if any(len(t) >= 32 and "://" not in t and re.search(r"[A-Za-z]{2}", t) and not re.search(r"[;|,]|\.{3}|[a-zäöüß]{24}", t) for t in tokens):
-        return "junk"
-    signs = [c for c in bare if not c.isalnum() and not c.isspace()]
-    if len(signs) >= 0.5 * (letters + len(signs)) and len(set(signs)) >= 6:
-        return "junk"
-    rest = MARK.sub("", bare, count=1).split() if MARK.match(bare) else tokens
-    if len(rest) >= 5 and sum(map(_single, rest)) >= 0.6 * len(rest) and not re.match(r"\|.*\|$|\|?[-:| ]+$", bare):
+    if longest >= 32 and any(len(t) >= 32 and "://" not in t and re.search(r"[A-Za-z]{2}", t) and not re.search(r"[;|,]|\.{3}|[a-zäöüß]{24}", t) for t in tokens):
         return "junk"
+    if visible - letters >= 0.5 * visible:
+        signs = SIGN.findall(bare)
+        if len(signs) >= 0.5 * (letters + len(signs)) and len(set(signs)) >= 6:
+            return "junk"
+    if visible < 4 * n:
+        rest = MARK.sub("", bare, count=1).split() if MARK.match(bare) else tokens
+        if len(rest) >= 5 and sum(map(_single, rest)) >= 0.6 * len(rest) and not re.match(r"\|.*\|$|\|?[-:| ]+$", bare):
+            return "junk"
     if LINK.match(bare):
         return "list"
     if RULE.match(bare):
@@ -169,14 +179,14 @@ def statistics(text: str) -> tuple[str, dict[str, float]]:
     n = len(words) or 1
     values = {
         "mean_word_chars": sum(map(len, words)) / n,
-        "symbol_ratio": sum(not c.isalnum() for t in tokens for c in t) / visible,
-        "digit_ratio": sum(c.isdigit() for c in text) / visible,
+        "symbol_ratio": (visible - sum(map(len, ALNUM.findall(text)))) / visible if tokens else 0.0,
+        "digit_ratio": len(DIGIT.findall(text)) / visible,
         "ended_lines": sum(bool(END.search(line)) for line in lines) / (len(lines) or 1),
         "common_words": common / n,
-        "single_characters": sum(map(_single, tokens)) / (len(tokens) or 1),
+        "single_characters": sum(_single(t) for t in tokens if len(t) <= 2) / (len(tokens) or 1),
         "repeated_lines": 1 - len(set(lines)) / (len(lines) or 1),
         "words_per_line": len(words) / (len(lines) or 1),
-        "sentences_per_word": sum(bool(STOP.search(t)) for t in tokens) / n,
+        "sentences_per_word": sum(t[-1] in STOPS and bool(STOP.search(t)) for t in tokens) / n,
     }
     return language, {k: round(v, 4) for k, v in values.items()}
 
