@@ -144,7 +144,9 @@ class History:
         own = ws.put(keys.repartitionByRange("key").sortWithinPartitions("key", "age"), f"run-{n}")
         sets = ws.put(reps.select("age", "sets", "size", "bits", "members").dropDuplicates(["age"]), f"sets-{n}")
         ws.drop(f"reps-{n}")
-        best = self._compare(own, sets, old, similarity) if match else None
+        # a class that is known already may have been like an older one before
+        again = classes.where("not fresh").select(F.col("rep").alias("age")).distinct()
+        best = self._compare(own, again, sets, old, similarity) if match else None
         self.runs.append(own)
         self.sets.append(sets)
         if len(self.runs) > MAX_RUNS:
@@ -158,13 +160,14 @@ class History:
             .where("match is not null")
         )
 
-    def _compare(self, own: DataFrame, sets: DataFrame, old: DataFrame, similarity: float) -> DataFrame:
-        """For each class that is new, the oldest class that is similar and came before."""
+    def _compare(self, own: DataFrame, again: DataFrame, sets: DataFrame, old: DataFrame, similarity: float) -> DataFrame:
+        """For each class that the batch has, new or not, the oldest class that is similar and came before."""
         n, ws = self.n, self.ws
         members = old.unionByName(sets)
         history = self._known(self.runs, "age long, key long")
-        # the ranges around new records: keys that a new record has and that occur more than once
-        around = history.join(own.select("key").distinct(), "key", "left_semi").select("key", "age", F.lit(False).alias("fresh"))
+        # the ranges around the batch's records: keys that one of them has and that occur more than once
+        keys = own.select("key").union(history.join(again, "age", "left_semi").select("key")).distinct()
+        around = history.join(keys, "key", "left_semi").join(again.withColumn("fresh", F.lit(True)), "age", "left").select("key", "age", F.coalesce("fresh", F.lit(False)).alias("fresh"))
         near = around.unionByName(own.select("key", "age", F.lit(True).alias("fresh")))
         more = near.groupBy("key").agg(F.count("*").alias("c"), F.min("age").alias("probe")).where("c > 1").drop("c")
         left = ws.put(near.join(more, "key").join(members.select("age", "bits"), "age"), f"near-{n}")

@@ -71,7 +71,7 @@ class _Events(HTMLParser):
         self.cells = 0
 
     def _put(self, s: str) -> None:
-        if not self.quiet:
+        if s and not self.quiet:
             self.out.append(s)
             self.line += s.count("\n")
 
@@ -131,6 +131,8 @@ class _Events(HTMLParser):
             self._line()
 
     def handle_data(self, data: str) -> None:
+        if not self.pre and data.isspace() and self.out and self.out[-1].endswith("\n"):
+            data = "\n" * min(1, max(0, data.count("\n") - 1))  # the line has ended already
         self._put(data)
 
     def _reference(self, raw: str) -> None:

@@ -114,12 +114,11 @@ class Plan:
             tokens = np.array([t for _, t in own])
             got = apportion(tokens, self.blocks[s], r["repeats"] * tokens // block)
             # what is less than a block in every shard
-            rest = self.blocks[s] - int(got.sum())
-            room = r["repeats"] * tokens - got * block
-            for (k, t), g, x in zip(own, got, room):
-                more = min(rest * block, int(x)) if rest > 0 else 0
-                rest -= more / block
-                self.quotas.append((s, k, int(g) * block + more, t))
+            rest = (self.blocks[s] - int(got.sum())) * block
+            for (k, t), g in zip(own, got):
+                more = max(0, min(rest, r["repeats"] * t - int(g) * block))
+                rest -= more
+                self.quotas.append((s, int(k), int(g) * block + more, int(t)))
 
 
 def _counted(documents: DataFrame, targets: DataFrame, tokenizer: str, ws: Workspace) -> tuple[DataFrame, list[dict]]:

@@ -45,6 +45,10 @@ STATISTICS = {
 }
 #: A text is an outlier from this share of the score on that a text in the middle of everything has.
 OUTLIER = 0.5
+#: With a lower share of common words a text has no language.
+LEAST_COMMON = 0.1
+#: Among fewer texts of a language ranks tell nothing, and all count as outliers.
+FEW = 32
 #: Values that a 256th of a language's texts share are looked up in a table sent to every task; there are at most 256 by statistic.
 HOT = 256
 
@@ -162,7 +166,7 @@ def shares(text: str) -> dict[str, float]:
 
 
 def statistics(text: str) -> tuple[str, dict[str, float]]:
-    """Language, und where no common word occurs, and STATISTICS to four places."""
+    """Language, und where hardly a common word occurs, and STATISTICS to four places."""
     lines = [line.strip() for line in text.split("\n") if line.strip()]
     words = WORD.findall(text.lower())
     tokens = TOKEN.findall(text)
@@ -174,7 +178,7 @@ def statistics(text: str) -> tuple[str, dict[str, float]]:
             common += 1
             for i in of:
                 votes[i] += 1
-    language = LANGUAGES[max(range(len(votes)), key=lambda i: (votes[i], -i))] if common else "und"
+    language = LANGUAGES[max(range(len(votes)), key=lambda i: (votes[i], -i))] if common > LEAST_COMMON * len(words) else "und"
     visible = sum(map(len, tokens)) or 1
     n = len(words) or 1
     values = {
@@ -264,7 +268,8 @@ def classify(items: DataFrame) -> DataFrame:
     """
     ws = Workspace(items.sparkSession, "quality")
     measured = ws.put(measure(items).distinct().withColumn("row", F.xxhash64("source_id", *STATISTICS)), "measured")
-    scored = score(measured, ws).drop("row")
-    outlier = (F.col("score") >= OUTLIER) | (F.col("language") == "und")
+    sizes = F.broadcast(measured.groupBy("language").agg(F.count("*").alias("_n")))  # a row for each of LANGUAGES and und
+    scored = score(measured, ws).drop("row").join(sizes, "language")
+    outlier = (F.col("score") >= OUTLIER) | (F.col("language") == "und") | (F.col("_n") < FEW)
     most = F.when((F.col("list") >= F.col("table")) & (F.col("list") >= F.col("junk")), "list").when(F.col("table") >= F.col("junk"), "table").otherwise("junk")
-    return scored.withColumn("outlier", outlier).withColumn("text_class", F.when(F.col("outlier") & (F.col("prose") < 0.5), most).otherwise("prose"))
+    return scored.withColumn("outlier", outlier).withColumn("text_class", F.when(F.col("outlier") & (F.col("prose") < 0.5), most).otherwise("prose")).drop("_n")
