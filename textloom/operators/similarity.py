@@ -3,7 +3,8 @@
 Two sets of a similarity of t or more share an element among the rarest of each: of n
 elements, rarest first, the first n - ceil(t n) + 1 suffice. Only these meet in the join,
 so that elements which many sets have, such as passages of boilerplate, bring no pairs
-together by themselves. Every pair that meets is then compared exactly.
+together by themselves. Elements meet as 64-bit hashes, which can only add pairs; every
+pair that meets is then compared exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from textloom.functions import text as T
 
 def rare_elements(sets: DataFrame, key: str, members: str, threshold: float, weights: DataFrame | None = None) -> DataFrame:
     """Rows (key, element) for the rarest elements of each set that a join at the threshold needs."""
-    flat = sets.select(key, F.size(members).alias("n"), F.explode(members).alias("element"))
+    flat = sets.select(key, F.size(members).alias("n"), F.explode(members).alias("element")).withColumn("element", F.xxhash64("element"))
     often = (flat if weights is None else weights).groupBy("element").agg(F.count("*").alias("often"))
     ranked = flat.join(often, "element").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("often", "element")))
     return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(key, "element")
@@ -24,7 +25,7 @@ def rare_elements(sets: DataFrame, key: str, members: str, threshold: float, wei
 
 def candidates(left: DataFrame, right: DataFrame, a: str, b: str, members: str, threshold: float) -> DataFrame:
     """Pairs (a, b) of ids that may reach the threshold; ``left`` and ``right`` have id and members."""
-    both = left.select(F.explode(members).alias("element")).union(right.select(F.explode(members).alias("element")))
+    both = left.select(F.explode(members).alias("element")).union(right.select(F.explode(members).alias("element"))).select(F.xxhash64("element").alias("element"))
     x = rare_elements(left, "id", members, threshold, both).withColumnRenamed("id", a)
     y = rare_elements(right, "id", members, threshold, both).withColumnRenamed("id", b)
     return x.join(y, "element").select(a, b).distinct()
@@ -54,6 +55,13 @@ def kb_similar(incoming: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
+def kb_above(incoming: DataFrame, kb: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a similarity of the threshold or more: id, kb_id, sim. Both hold id or kb_id, and members."""
+    pairs = candidates(incoming.select("id", "members"), kb.select(F.col("kb_id").alias("id"), "members"), "id", "kb_id", "members", threshold)
+    both = pairs.join(incoming.select("id", F.col("members").alias("a")), "id").join(kb.select("kb_id", F.col("members").alias("b")), "kb_id")
+    return both.select("id", "kb_id", T.jaccard(F.col("a"), F.col("b")).alias("sim")).where(F.col("sim") >= threshold)
+
+
 def chapter_classes(chapters: DataFrame) -> DataFrame:
     """Chapters with the same title words and shingles as one class, under its lowest chapter_id.
 

@@ -56,6 +56,14 @@ def match_incoming(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def incoming_status(spark: SparkSession, d: str, near: float = 0.20) -> DataFrame:
+    """Each incoming file with its status only: entries that share less than a status needs aren't compared."""
+    ws = Workspace(spark, "incoming")
+    incoming, kb = (ws.put(side, name) for side, name in zip(_sides(spark, d), ("files", "entries")))
+    best = M.kb_above(incoming.where(F.size("members") > 0), kb.where(F.size("members") > 0), near).groupBy("id").agg(F.max("sim").alias("sim"))
+    return incoming.select("id", "source_bucket").join(best, "id", "left").select("source_bucket", T.similarity_class(F.coalesce("sim", F.lit(0.0)), near).alias("status"))
+
+
 @query(f"WITH {_INCOMING} SELECT id AS file_id, kb_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, kb_id) AS r FROM o) WHERE r <= 20")
 def kb_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The twenty entries with the most shared shingles of each file."""
@@ -78,13 +86,13 @@ def alternates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INCOMING} SELECT status, count(*) AS n FROM m GROUP BY 1")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return match_incoming(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    return incoming_status(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_INCOMING} SELECT source_bucket, count(*) FILTER (WHERE status = 'NEW') AS n_new, count(*) FILTER (WHERE status = 'NEAR') AS n_near, count(*) FILTER (WHERE status = 'EXACT') AS n_exact,
     round(100e0 * count(*) FILTER (WHERE status = 'NEW') / count(*), 6) AS new_percent FROM m GROUP BY 1""")
 def status_pivot(spark: SparkSession, d: str) -> DataFrame:
-    p = match_incoming(spark, d).groupBy("source_bucket").pivot("status", ["NEW", "NEAR", "EXACT"]).count().na.fill(0)
+    p = incoming_status(spark, d).groupBy("source_bucket").pivot("status", ["NEW", "NEAR", "EXACT"]).count().na.fill(0)
     n = F.col("NEW") + F.col("NEAR") + F.col("EXACT")
     return p.select("source_bucket", F.col("NEW").alias("n_new"), F.col("NEAR").alias("n_near"), F.col("EXACT").alias("n_exact"), F.round(100.0 * F.col("NEW") / n, 6).alias("new_percent"))
 
