@@ -94,9 +94,19 @@ def scored_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def strict_pairs(classes: DataFrame) -> DataFrame:
-    """Content alone, or a similar title with less content, or the same title with little."""
+    """Content alone, or a similar title with less content, or the same title with little.
+
+    Pairs that need a title meet by an element of both sets at once, so that neither passages
+    of boilerplate nor common titles bring pairs together by themselves.
+    """
     some = classes.where(F.size("members") > 0)
-    scored = scored_pairs(classes, self_candidates(some, "members", 0.10))
+    by_content = self_candidates(some, "members", 0.40)
+    none = some.where(F.size("words") == 0).select("id", F.lit(0).cast("long").alias("word"))
+    words = rare_elements(some.where(F.size("words") > 0), "id", "words", 0.80).withColumnRenamed("element", "word").union(none)
+    words = words.join(words.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word"), "word")
+    keyed = rare_elements(some.join(words.select("id").distinct(), "id", "left_semi"), "id", "members", 0.10).join(words, "id").select("id", F.xxhash64("element", "word").alias("key"))
+    by_both = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
+    scored = scored_pairs(classes, by_content.union(by_both).distinct())
     c, t = F.col("content_sim"), F.col("title_sim")
     return scored.where((c >= 0.40) | ((t >= 0.80) & (c >= 0.15)) | ((t >= 0.99) & (c >= 0.10)))
 
