@@ -57,9 +57,9 @@ def strip(c: Column) -> Column:
 
 def tokens(text: Column, stopwords: list[str] = STOPWORDS_LONG) -> Column:
     """Words of three characters and more that are no function words, in order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
-    stop = F.array(*(F.lit(w) for w in stopwords)) if stopwords else F.array().cast("array<string>")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    not_stop = rf"(?!(?:{'|'.join(stopwords)})(?![\p{{L}}\p{{N}}_]))" if stopwords else ""
+    # one pattern rather than a filter over all words: a lambda would run interpreted for each
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){not_stop}[\p{{L}}\p{{N}}_]{{3,}}"), 0)
 
 
 def runs(words: Column, k: int, short: str = "whole") -> Column:
@@ -167,8 +167,11 @@ def times(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
-def signals(text: Column) -> Column:
-    """Struct of the typographic signals of a text; a null text counts as empty."""
+def signals(text: Column, characters: bool = True) -> Column:
+    """Struct of the typographic signals of a text; a null text counts as empty.
+
+    ``characters=False`` leaves out the number of different characters, the dearest of them.
+    """
     t = F.coalesce(text, F.lit(""))
 
     def build(t: Column) -> Column:
@@ -178,7 +181,7 @@ def signals(text: Column) -> Column:
             F.size(lines).alias("n_lines"),
             F.length(t).alias("n_chars"),
             word_count(t).alias("n_words"),
-            F.size(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(.)"), 1))).alias("unique_chars"),
+            *([F.size(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), 0))).alias("unique_chars")] if characters else []),
             some(SPACE + r"{4,}[^\s\p{Z}\x1c-\x1f\x85]").alias("ws_4plus"),
             some(SPACE + "{8,}").alias("ws_8plus"),
             some(SPACE + "{16,}").alias("ws_16plus"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.session import spread
 
 
 def rare_elements(sets: DataFrame, key: str, members: str, threshold: float, weights: DataFrame | None = None) -> DataFrame:
@@ -67,19 +68,19 @@ def chapter_classes(chapters: DataFrame) -> DataFrame:
 
     Columns id, members (content), words (title), n_members, lowest and highest source.
     """
-    c = chapters.groupBy("chapter_id").agg(F.first("title").alias("title"), F.first("content").alias("content"), F.first("source_file").alias("source_file"))
+    c = spread(chapters.select("chapter_id", "title", "content", "source_file"))
     sets = c.select(
         "chapter_id", F.coalesce("source_file", F.lit("")).alias("source"),
         F.sort_array(T.title_words(F.col("title"))).alias("words"), F.sort_array(T.shingles(F.col("content"), stopwords=T.STOPWORDS)).alias("members"),
-    ).withColumn("class", F.md5(F.concat(F.array_join("words", " "), F.lit("\n"), F.array_join("members", "\n"))))
+    ).withColumn("class", F.md5(F.concat(F.array_join("words", " "), F.lit("\n"), F.array_join("members", "\n")))).dropDuplicates(["chapter_id"])
     kept = sets.groupBy("class").agg(F.min("chapter_id").alias("id"), F.count("*").alias("n_members"), F.min("source").alias("low"), F.max("source").alias("high"))
     return kept.join(sets.select("class", F.col("chapter_id").alias("id"), "words", "members"), ["class", "id"])
 
 
 def class_membership(chapters: DataFrame) -> DataFrame:
-    c = chapters.groupBy("chapter_id").agg(F.first("title").alias("title"), F.first("content").alias("content"))
+    c = spread(chapters.select("chapter_id", "title", "content"))
     key = F.md5(F.concat(F.array_join(F.sort_array(T.title_words(F.col("title"))), " "), F.lit("\n"), F.array_join(F.sort_array(T.shingles(F.col("content"), stopwords=T.STOPWORDS)), "\n")))
-    keyed = c.select("chapter_id", key.alias("class"))
+    keyed = c.select("chapter_id", key.alias("class")).dropDuplicates(["chapter_id"])
     return keyed.join(keyed.groupBy("class").agg(F.min("chapter_id").alias("class_id")), "class").select("chapter_id", "class_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.plans.common import S, sql_list, sql_runs, sql_strip, table
 from textloom.plans.texts import SQL as TEXT_SQL
+from textloom.session import spread
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -105,7 +106,7 @@ def near_dup_messages(spark: SparkSession, d: str) -> DataFrame:
     from textloom.operators.similarity import self_candidates
     from textloom.session import Workspace
 
-    docs = table(spark, d, "incoming_files").where("body is not null").groupBy(F.md5("body").alias("h")).agg(F.min("file_id").alias("id"), F.first("body").alias("text"))
+    docs = spread(table(spark, d, "incoming_files")).where("body is not null").groupBy(F.md5("body").alias("h")).agg(F.min("file_id").alias("id"), F.first("body").alias("text"))
     sets = Workspace(spark, "messages").put(docs.select("id", T.plain_shingles(F.col("text")).alias("members")).where(F.size("members") > 0), "sets")
     pairs = self_candidates(sets, "members", 0.4)
     side = lambda s: sets.select(F.col("id").alias(s), F.col("members").alias(f"m{s}"))

@@ -12,7 +12,7 @@ from textloom.operators.numbering import number_rows
 from textloom.plans.common import sql_display, sql_runs, sql_title, sql_tokens, table
 from textloom.plans.texts import chapter_score
 from textloom.plans.texts import SQL as TEXT_SQL
-from textloom.session import Workspace
+from textloom.session import Workspace, spread
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -30,8 +30,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Incoming files and entries with their shingle sets, a repeated row once."""
-    incoming = table(spark, d, "incoming_files").select(F.col("file_id").alias("id"), "source_bucket", T.shingles(F.col("body")).alias("members")).dropDuplicates(["id"])
-    kb = table(spark, d, "kb_entries").select("kb_id", T.shingles(F.col("body")).alias("members"))
+    incoming = spread(table(spark, d, "incoming_files")).select(F.col("file_id").alias("id"), "source_bucket", T.shingles(F.col("body")).alias("members")).dropDuplicates(["id"])
+    kb = spread(table(spark, d, "kb_entries")).select("kb_id", T.shingles(F.col("body")).alias("members"))
     return incoming, kb
 
 

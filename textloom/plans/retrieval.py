@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators.vectors import top_k
 from textloom.plans.common import table
+from textloom.session import spread
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -36,7 +37,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _search(spark: SparkSession, d: str, n: int) -> DataFrame:
     """Rows (query, doc_id, score, distance) of the n best texts of each query in TERMS."""
-    hits = table(spark, d, "documents").select(
+    hits = spread(table(spark, d, "documents")).select(
         "doc_id", "text", F.explode(F.array(*(F.struct(F.lit(q).alias("query"), T.occurrences(F.col("text"), terms).alias("score")) for q, terms in TERMS.items()))).alias("x")
     ).select("doc_id", "text", "x.query", "x.score").where("score > 0")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators.numbering import number_rows
 from textloom.plans.common import S, W, sql_display, sql_list, sql_name, sql_runs, sql_strip, sql_title, sql_tokens, sql_words, table
+from textloom.session import spread
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -101,14 +102,14 @@ def exact_dups(spark: SparkSession, d: str) -> DataFrame:
 def shingles(spark: SparkSession, d: str) -> DataFrame:
     """Set sizes of the three dialects of word runs."""
     c = F.col("content")
-    return table(spark, d, "chapters").select("chapter_id", F.size(T.shingles(c)).alias("n_shingles"), F.size(T.shingles(c, short="words")).alias("n_loose"), F.size(T.plain_shingles(c)).alias("n_plain")).distinct()
+    return spread(table(spark, d, "chapters")).select("chapter_id", F.size(T.shingles(c)).alias("n_shingles"), F.size(T.shingles(c, short="words")).alias("n_loose"), F.size(T.plain_shingles(c)).alias("n_plain")).distinct()
 
 
 @query(f"""
     WITH w AS (SELECT {sql_tokens('body')} AS w FROM kb_entries), s AS (SELECT unnest({sql_runs('w', 5)}) AS s FROM w)
     SELECT count(*) AS n_shingles, count(DISTINCT s) AS n_distinct FROM s""")
 def shingle_cardinality(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "kb_entries").select(F.explode(T.shingles(F.col("body"))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    s = spread(table(spark, d, "kb_entries")).select(F.explode(T.shingles(F.col("body"))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     return s.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_shingles"), F.count("*").alias("n_distinct"))
 
 
@@ -137,7 +138,7 @@ _SIGNALS = f"""SELECT DISTINCT source_id, len({_LINES}) AS n_lines, length({_T})
 @query(f"""WITH s AS ({_SIGNALS}) SELECT * EXCLUDE (signals), CASE WHEN signals IS NULL THEN 'filled' WHEN signals.n_chars = n_chars AND signals.n_words = n_words AND signals.n_lines = n_lines AND signals.unique_chars = unique_chars THEN 'kept' ELSE 'mended' END AS state FROM s""")
 def quality_signals(spark: SparkSession, d: str) -> DataFrame:
     """All signals of each text, and whether the stored ones were missing, right or stale."""
-    s = table(spark, d, "source_documents").select("source_id", "signals", T.signals(F.col("text")).alias("s"))
+    s = spread(table(spark, d, "source_documents")).select("source_id", "signals", T.signals(F.col("text")).alias("s"))
     same = F.coalesce((F.col("signals.n_chars") == F.col("s.n_chars")) & (F.col("signals.n_words") == F.col("s.n_words")) & (F.col("signals.n_lines") == F.col("s.n_lines")) & (F.col("signals.unique_chars") == F.col("s.unique_chars")), F.lit(False))
     return s.select("source_id", "s.*", F.when(F.col("signals").isNull(), "filled").when(same, "kept").otherwise("mended").alias("state")).distinct()
 
@@ -152,7 +153,7 @@ _SCORE = f"({_WS} + {_UNI} + {_STRUCTURE} - {_PENALTY})"
 
 @query(f"WITH s AS ({_SIGNALS}) SELECT source_id, round({_WS}, 6) AS ws_fidelity, round({_UNI}, 6) AS uni_fidelity, {_STRUCTURE} AS structure_fidelity, round({_PENALTY}, 6) AS penalty, round({_SCORE}, 6) AS aggregate FROM s")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "source_documents").select("source_id", T.signals(F.col("text")).alias("s")).distinct()
+    s = spread(table(spark, d, "source_documents")).select("source_id", T.signals(F.col("text"), characters=False).alias("s")).distinct()
     p = s.select("source_id", T.score_parts(F.col("s")).alias("p"))
     return p.select("source_id", *(F.round(f"p.{c}", 6).alias(c) for c in ("ws_fidelity", "uni_fidelity")), "p.structure_fidelity", *(F.round(f"p.{c}", 6).alias(c) for c in ("penalty", "aggregate")))
 
@@ -163,7 +164,7 @@ _CHAPTER_SIGNALS = _SIGNALS.replace("source_id", "chapter_id").replace(", signal
 @query(f"WITH s AS ({_CHAPTER_SIGNALS}) SELECT chapter_id, round({_SCORE} + least(5e0, n_words / 200e0), 6) AS score FROM s")
 def chapter_score(spark: SparkSession, d: str) -> DataFrame:
     """Score of a chapter, with the bonus for length."""
-    s = table(spark, d, "chapters").select("chapter_id", T.signals(F.col("content")).alias("s")).distinct()
+    s = spread(table(spark, d, "chapters")).select("chapter_id", T.signals(F.col("content"), characters=False).alias("s")).distinct()
     return s.select("chapter_id", F.round(T.score_parts(F.col("s"), volume=True).getField("aggregate"), 6).alias("score"))
 
 
@@ -237,7 +238,7 @@ def _mood_sql() -> str:
 
 @query(f"SELECT doc_id, {_mood_sql()} AS mood FROM documents")
 def mood(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.mood(F.col("text")).alias("mood"))
+    return spread(table(spark, d, "documents")).select("doc_id", T.mood(F.col("text")).alias("mood"))
 
 
 _MARKS = " + ".join(f"contains(lower({_T}), '{m}')::INT" for m in T.FACTUAL)

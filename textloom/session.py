@@ -41,6 +41,16 @@ def ship(spark: SparkSession) -> None:
     sc._textloom_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table in as many partitions as there are cores, where it comes in fewer files than that.
+
+    A file of one row group is one task however large; work on its texts would run on one core.
+    Tables of many files, as large ones are, stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
