@@ -94,9 +94,24 @@ def scored_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def empty_pairs(classes: DataFrame, column: str) -> DataFrame:
+    """All pairs (a, b), a < b, of classes whose set in the column is empty: two empty sets are as similar as can be."""
+    none = classes.where(F.size(column) == 0)
+    return none.select(F.col("id").alias("a")).join(none.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+
+
 def strict_pairs(classes: DataFrame) -> DataFrame:
     """Content alone, or a similar title with less content, or the same title with little.
 
+    Classes without words of content are of equal content, so all of different sources are pairs.
+    """
+    none = scored_pairs(classes, empty_pairs(classes, "members"))
+    return worded_pairs(classes).unionByName(none)
+
+
+def worded_pairs(classes: DataFrame) -> DataFrame:
+    """The strict pairs of classes with words of content.
+
     Pairs that need a title meet by an element of both sets at once, so that neither passages
     of boilerplate nor common titles bring pairs together by themselves.
     """

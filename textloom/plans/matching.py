@@ -154,10 +154,13 @@ def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chapters = table(spark, d, "chapters")
     classes = ws.put(M.chapter_classes(chapters), "classes")
     members = ws.put(M.class_membership(chapters), "members")
-    # copies are linked where the class has members of more than one source, and contents to compare
-    shared = classes.where((F.col("low") != F.col("high")) & (F.size("members") > 0)).select(F.col("id").alias("class_id"))
+    # copies are linked where the class has members of more than one source
+    shared = classes.where(F.col("low") != F.col("high")).select(F.col("id").alias("class_id"))
     copies = members.where("class_id <> chapter_id").join(shared, "class_id").select(F.col("class_id").alias("a"), F.col("chapter_id").alias("b"))
-    pairs = M.strict_pairs(classes)
+    # chapters without words all match across sources: of two sources or more, they are one component around the lowest
+    none = classes.where(F.size("members") == 0)
+    hub = none.agg(F.min("id").alias("a"), F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("a")  # one row or none
+    pairs = M.worded_pairs(classes).select("a", "b").union(none.select(F.col("id").alias("b")).join(F.broadcast(hub)).where("b > a").select("a", "b"))
     # a pair links all members of both classes, so copies of one source are linked through it too
     through = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("class_id"))
     others = members.where("class_id <> chapter_id").join(through, "class_id").select(F.col("class_id").alias("a"), F.col("chapter_id").alias("b"))
