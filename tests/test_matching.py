@@ -76,3 +76,11 @@ def test_components_with_empty_contents(spark, folder):
 def test_empty_contents_of_one_source(spark, tmp_path):
     spark.createDataFrame([r for r in CHAPTERS if r[3] == "a.md"], SCHEMA).write.parquet(f"{tmp_path}/chapters.parquet")
     assert matching.components(spark, str(tmp_path)).count() == 0
+
+
+def test_cross_source_pairs_are_whole(spark, folder, sims):
+    want = {p for p, (t, c) in sims.items() if t >= 0.5 or c >= 0.3}
+    assert {(1, 3), (5, 7), (6, 7), (6, 8), (8, 9), (5, 10), (11, 13), (12, 13), (2, 4)} <= want
+    pairs = matching.cross_source_pairs(spark, folder)
+    assert between_chapters(spark, folder, pairs) == want
+    assert all(sims[r.a, r.b] == pytest.approx((r.title_sim, r.content_sim)) for r in pairs.collect() if (r.a, r.b) in sims)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.session import spread
+from textloom.session import Workspace, spread
 
 
 def rare_elements(sets: DataFrame, key: str, members: str, threshold: float, weights: DataFrame | None = None) -> DataFrame:
@@ -84,6 +84,17 @@ def class_membership(chapters: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("class").agg(F.min("chapter_id").alias("class_id")), "class").select("chapter_id", "class_id")
 
 
+def compact_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As scored_pairs, for classes in the form of compact."""
+    side = lambda s: classes.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("words", "few", "n", "low", "high")))
+    both = F.size(F.array_intersect("few_a", "few_b"))
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .where("not (low_a = high_a and low_b = high_b and low_a = low_b)")
+        .select(*pairs.columns, T.jaccard(F.col("words_a"), F.col("words_b")).alias("title_sim"), F.when(F.col("n_a") + F.col("n_b") == 0, 1.0).otherwise(both / (F.col("n_a") + F.col("n_b") - both)).alias("content_sim"))
+    )
+
+
 def scored_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds both similarities to pairs of classes that aren't all from one source."""
     side = lambda s: classes.select(F.col("id").alias(s), F.col("words").alias(f"w{s}"), F.col("members").alias(f"m{s}"), F.col("low").alias(f"l{s}"), F.col("high").alias(f"h{s}"))
@@ -128,23 +139,35 @@ def worded_pairs(classes: DataFrame) -> DataFrame:
 
 
 def loose_pairs(classes: DataFrame, title: float = 0.5, content: float = 0.3) -> DataFrame:
-    """Similar titles or similar contents. Classes without words of content, or of title,
-    are as similar as can be: each is paired with the lowest such class, which stands for all."""
+    """Similar titles or similar contents: all pairs of classes that aren't all from one source.
+
+    Titles are compared once each; similar ones and each with itself then bring all their
+    classes together. Classes without words of content, or of title, are all alike in that.
+    The number of pairs grows with the square of the classes that share a title.
+    """
     by_content = self_candidates(classes.where(F.size("members") > 0), "members", content)
     titles = classes.groupBy("words").agg(F.min("id").alias("id")).where(F.size("words") > 0)
-    # classes of one title as a star around the lowest, titles among each other by their lowest
     met = self_candidates(titles, "words", title)
-    by_title = (
+    near = (
         met.join(titles.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(titles.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        .where(T.jaccard(F.col("wa"), F.col("wb")) >= title).select("a", "b")
+        .where(T.jaccard(F.col("wa"), F.col("wb")) >= title)
     )
-    same = classes.join(titles.select("words", F.col("id").alias("a")), "words").where("id > a").select("a", F.col("id").alias("b"))
-    pairs = by_content.withColumn("titled", F.lit(False)).union(by_title.union(same).withColumn("titled", F.lit(True)))
-    for empty in ("members", "words"):
-        none = classes.where(F.size(empty) == 0)
-        lowest = none.agg(F.min("id").alias("a"))  # one row
-        pairs = pairs.union(none.join(F.broadcast(lowest)).where("id > a").select("a", F.col("id").alias("b"), F.lit(empty == "words")))
-    pairs = pairs.groupBy("a", "b").agg(F.max("titled").alias("titled"))
-    # a pair that met by its contents counts for its titles only where it also met by those
-    scored = scored_pairs(classes, pairs)
-    return scored.where((F.col("content_sim") >= content) | (F.col("titled") & (F.col("title_sim") >= title))).drop("titled")
+    alike = near.select(F.col("a").alias("ta"), F.col("b").alias("tb")).union(near.select("b", "a")).union(titles.select("id", "id"))
+    titled = classes.select("id", "words", "low", "high").join(titles.withColumnRenamed("id", "title"), "words")
+    side = lambda s: titled.select(F.col("id").alias(s), F.col("title").alias(f"t{s}"), F.col("low").alias(f"l{s}"), F.col("high").alias(f"h{s}"))
+    by_title = alike.join(side("a"), "ta").join(side("b"), "tb").where("a < b and not (la = ha and lb = hb and la = lb)").select("a", "b")
+    pairs = by_content.union(by_title).union(empty_pairs(classes, "members")).union(empty_pairs(classes, "words")).distinct()
+    scored = compact_pairs(compact(classes), pairs)
+    return scored.where((F.col("content_sim") >= content) | (F.col("title_sim") >= title))
+
+
+def compact(classes: DataFrame) -> DataFrame:
+    """The classes with numbers for the elements of their contents that several classes have, to compare many pairs.
+
+    Columns id, words, low, high, few (the numbers) and n, the size of the whole set.
+    """
+    flat = classes.select("id", F.explode("members").alias("element"))
+    shared = flat.groupBy("element").agg(F.count("*").alias("c")).where("c > 1").select("element", F.monotonically_increasing_id().alias("number"))
+    shared = Workspace(classes.sparkSession, "shared").put(shared, "elements")  # a number stays the same for all that read it
+    few = flat.join(shared, "element").groupBy("id").agg(F.collect_list("number").alias("few"))
+    return classes.join(few, "id", "left").withColumn("few", F.coalesce("few", F.array().cast("array<bigint>"))).select("id", "words", "low", "high", "few", F.size("members").alias("n"))

@@ -143,7 +143,7 @@ _LOOSE = f"""{_CLASSES},
 
 @query(f"WITH {_LOOSE} SELECT * FROM loose")
 def cross_source_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of classes with similar titles or contents; equal titles are linked through their lowest class."""
+    """Pairs of chapter classes with similar titles or contents; with class_members, every link between chapters."""
     classes = Workspace(spark, "classes").put(M.chapter_classes(table(spark, d, "chapters")), "classes")
     return M.loose_pairs(classes)
 
