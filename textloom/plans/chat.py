@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.plans.common import S, sql_list, sql_runs, sql_strip, table
 from textloom.plans.texts import SQL as TEXT_SQL
-from textloom.session import spread
+from textloom.session import Workspace, spread
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -74,12 +74,44 @@ def open_questions(spark: SparkSession, d: str) -> DataFrame:
     k AS (SELECT DISTINCT trim(lower(substring(coalesce(text, ''), 1, 50)), ' ' || chr(10) || chr(9) || chr(13)) AS known FROM documents WHERE doc_kind = 'blog')
     SELECT n.doc_id FROM n WHERE n.needle <> '' AND n.needle NOT IN (SELECT known FROM k)""")
 def not_researched(spark: SparkSession, d: str) -> DataFrame:
-    """Texts whose query's first 50 characters begin none of the notes (blog entries)."""
-    trim = lambda c: F.trim(F.lower(F.substring(c, 1, 50)), F.lit(" \n\t\r"))
+    """Texts whose query's first 50 characters occur in none of the notes (blog entries), whatever the case.
+
+    The words inside a needle, without its first and last that may be parts of words, stand in a row in
+    each note that holds it. A needle meets the notes by the rarest of these runs and is then searched in
+    them; only needles of hardly any words, each once, are searched in all notes.
+    """
+    ws = Workspace(spark, "notes")
     docs = table(spark, d, "documents")
-    q = docs.select("doc_id", trim(T.search_query(F.col("text"))).alias("needle")).where("needle <> ''")
-    known = docs.where("doc_kind = 'blog'").select(trim(F.coalesce("text", F.lit(""))).alias("needle")).distinct()
-    return q.join(known, "needle", "left_anti").select("doc_id")
+    needle = F.trim(F.lower(F.substring(T.search_query(F.col("text")), 1, 50)), F.lit(" \n\t\r"))
+    q = ws.put(spread(docs).select("doc_id", needle.alias("needle")).where("needle <> ''"), "queries")
+    notes = ws.put(spread(docs).where("doc_kind = 'blog'").select(F.lower("text").alias("note")).where("note is not null").distinct().withColumn("note_id", F.monotonically_increasing_id()), "notes")
+    needles = q.select("needle").distinct()
+
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
+    inner = needles.withColumn("w", words(F.col("needle"))).withColumn("w", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)))
+    inner = inner.withColumn("k", F.when(F.size("w") >= LONG_RUN, LONG_RUN).when(F.size("w") >= SHORT_RUN, SHORT_RUN))
+    runs = ws.put(inner.where("k is not null").select("needle", F.explode(F.array_distinct(_runs(F.col("w"), F.col("k")))).alias("run")), "runs")
+    wanted = runs.select("run").distinct()
+    split = notes.select("note_id", words(F.col("note")).alias("w"))
+    held = F.explode(F.array_distinct(F.concat(*(_runs(F.col("w"), F.lit(k)) for k in (SHORT_RUN, LONG_RUN)))))
+    found = ws.put(split.select("note_id", held.alias("run")).join(wanted, "run", "left_semi"), "found")
+    often = found.groupBy("run").agg(F.count("*").alias("often"))
+    # a run that no note has is the rarest there is
+    rarest = runs.join(often, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("r")).select("needle", "r.run")
+    met = rarest.join(found, "run").select("needle", "note_id").join(notes, "note_id").where(F.col("note").contains(F.col("needle"))).select("needle")
+    few = inner.where("k is null").select("needle")
+    met_few = few.join(notes, F.col("note").contains(F.col("needle")), "left_semi")
+    return q.join(met.union(met_few).distinct(), "needle", "left_anti").select("doc_id")
+
+
+#: Words of the runs by which needles meet notes: long ones, and short ones for needles of few words.
+LONG_RUN, SHORT_RUN = 4, 2
+
+
+def _runs(words: Column, k: Column) -> Column:
+    """Hashes of all runs of k words; none where there are fewer."""
+    at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
 
 
 _MOOD = TEXT_SQL["mood"]
@@ -104,7 +136,6 @@ _PLAIN = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{S}+'),
 def near_dup_messages(spark: SparkSession, d: str) -> DataFrame:
     """Texts that say nearly what an earlier one says (0.4 of their three-word runs): the number and the first of these. Copies count once, under their lowest id."""
     from textloom.operators.similarity import self_candidates
-    from textloom.session import Workspace
 
     docs = spread(table(spark, d, "incoming_files")).where("body is not null").groupBy(F.md5("body").alias("h")).agg(F.min("file_id").alias("id"), F.first("body").alias("text"))
     sets = Workspace(spark, "messages").put(docs.select("id", T.plain_shingles(F.col("text")).alias("members")).where(F.size("members") > 0), "sets")
