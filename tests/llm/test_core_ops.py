@@ -93,6 +93,21 @@ def test_classes_of_texts(spark):
     assert quality.classify(df.limit(0)).count() == 0
 
 
+def test_common_cases_are_found(spark):
+    """Copies of one list and lists of their own as most texts of a language, whatever the ranks say."""
+    rng = random.Random(3)
+    sentence = lambda: f"Der {rng.choice(WORDS)} liegt in dem {rng.choice(WORDS)}, und das {rng.choice(WORDS)} ist nicht so alt wie die {rng.choice(WORDS)}."
+    entries = lambda: "\n".join(f"- der {rng.choice(WORDS)} und die {rng.choice(WORDS)} {i}" for i in range(20))
+    copied = entries()
+    rows = [(i, "\n".join(sentence() for _ in range(5))) for i in range(20)] + [(100 + i, copied) for i in range(60)] + [(200 + i, entries()) for i in range(20)]
+    got = quality.classify(spark.createDataFrame(rows, "source_id long, text string")).collect()
+    assert {r["source_id"]: r["text_class"] for r in got} == {i: "prose" if i < 100 else "list" for i, _ in rows}
+    # one row or many of a text: its copies change no score
+    once = quality.classify(spark.createDataFrame([r for r in rows if not 100 < r[0] < 200], "source_id long, text string")).collect()
+    scores = {r["source_id"]: r["score"] for r in got}
+    assert all(abs(scores[r["source_id"]] - r["score"]) < 1e-9 for r in once)
+
+
 # p2
 
 

@@ -4,8 +4,8 @@ Each text gets statistics and a language by its common words. The statistics' ex
 within the language come from a range-partitioned sort of their distinct values, with
 partition offsets; each tail probability then adds to an outlier score, as in empirical-
 cumulative outlier detection, counting for each statistic the tail that speaks against
-prose. What scores as an outlier, or has no language at all, is held against the exact
-share of its characters in lines that are no prose.
+prose. Each distinct text counts once in the ranks. The score only ranks texts: the class
+comes from the exact share of a text's characters in lines that are no prose.
 """
 
 from __future__ import annotations
@@ -47,8 +47,6 @@ STATISTICS = {
 OUTLIER = 0.5
 #: With a lower share of common words a text has no language.
 LEAST_COMMON = 0.1
-#: Among fewer texts of a language ranks tell nothing, and all count as outliers.
-FEW = 32
 #: Values that a 256th of a language's texts share are looked up in a table sent to every task; there are at most 256 by statistic.
 HOT = 256
 
@@ -196,10 +194,10 @@ def statistics(text: str) -> tuple[str, dict[str, float]]:
 
 
 def measure(items: DataFrame) -> DataFrame:
-    """Columns source_id, language, STATISTICS and the shares prose, list, table and junk; rows whose text is null or blank are left out."""
+    """Columns source_id, text_hash, language, STATISTICS and the shares prose, list, table and junk; rows whose text is null or blank are left out."""
     names = [*STATISTICS, "prose", "list", "table", "junk"]
-    schema = "source_id long, language string, " + ", ".join(f"{n} double" for n in names)
-    arrow = pa.schema([("source_id", pa.int64()), ("language", pa.string()), *((n, pa.float64()) for n in names)])
+    schema = "source_id long, text_hash long, language string, " + ", ".join(f"{n} double" for n in names)
+    arrow = pa.schema([("source_id", pa.int64()), ("text_hash", pa.int64()), ("language", pa.string()), *((n, pa.float64()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +208,11 @@ def measure(items: DataFrame) -> DataFrame:
                 part = shares(text)
                 got.append((language, [*values.values(), *(part.get(k, 0.0) for k in ("prose", "list", "table", "junk"))]))
             take = codes.indices
-            columns = [batch.column("source_id"), pa.array([g[0] for g in got], pa.string()).take(take)]
+            columns = [batch.column("source_id"), batch.column("text_hash"), pa.array([g[0] for g in got], pa.string()).take(take)]
             columns += [pa.array([g[1][k] for g in got], pa.float64()).take(take) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return items.where(filled("text") & F.col("source_id").isNotNull()).select("source_id", "text").mapInArrow(run, schema)
+    return items.where(filled("text") & F.col("source_id").isNotNull()).select("source_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def exact_ranks(values: DataFrame, ws: Workspace, partitions: int | None = None) -> DataFrame:
@@ -242,10 +240,11 @@ def exact_ranks(values: DataFrame, ws: Workspace, partitions: int | None = None)
 def score(measured: DataFrame, ws: Workspace) -> DataFrame:
     """Adds score: the mean over the statistics of minus the logarithm of the tail probability.
 
-    A text in the middle of everything scores ln 2, about 0.69.
+    A text in the middle of everything scores ln 2, about 0.69. Rows of one text_hash are one text to the ranks.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS)))
-    long = measured.select("row", F.col("language").alias("part"), pairs.alias("x")).select("row", "part", "x.statistic", "x.value")
+    texts = measured.dropDuplicates(["text_hash"])
+    long = texts.select("text_hash", F.col("language").alias("part"), pairs.alias("x")).select("text_hash", "part", "x.statistic", "x.value")
     ranks = ws.put(exact_ranks(long, ws), "ranks")
     low = -F.log(F.col("at_most") / F.col("n"))
     high = -F.log((F.col("n") - F.col("below")) / F.col("n"))
@@ -255,21 +254,20 @@ def score(measured: DataFrame, ws: Workspace) -> DataFrame:
     keys = ["part", "statistic", "value"]
     known = long.join(hot, keys, "left")
     scored = known.where("tail is not null").unionByName(known.where("tail is null").drop("tail").join(tail.where("not hot").drop("hot"), keys))
-    return measured.join(scored.groupBy("row").agg(F.avg("tail").alias("score")), "row")
+    return measured.join(scored.groupBy("text_hash").agg(F.avg("tail").alias("score")), "text_hash")
 
 
 def classify(items: DataFrame) -> DataFrame:
     """Columns source_id, language, STATISTICS, shares by class, score, outlier and text_class.
 
     ``items`` has source_id and text; a row delivered twice counts once, null and blank texts
-    have no row. text_class is prose unless the text is an outlier, or has no language, and
-    more than half of its characters stand in lines of the other classes; then it is the
-    class with most of them (of equals the first in the order list, table, junk).
+    have no row. text_class is prose unless more than half of the text's characters stand in
+    lines of the other classes; then it is the class with most of them (of equals the first
+    in the order list, table, junk). outlier tells texts of a high score or without a language.
     """
     ws = Workspace(items.sparkSession, "quality")
-    measured = ws.put(measure(items).distinct().withColumn("row", F.xxhash64("source_id", *STATISTICS)), "measured")
-    sizes = F.broadcast(measured.groupBy("language").agg(F.count("*").alias("_n")))  # a row for each of LANGUAGES and und
-    scored = score(measured, ws).drop("row").join(sizes, "language")
-    outlier = (F.col("score") >= OUTLIER) | (F.col("language") == "und") | (F.col("_n") < FEW)
+    measured = ws.put(measure(items).distinct(), "measured")
+    scored = score(measured, ws).drop("text_hash")
+    outlier = (F.col("score") >= OUTLIER) | (F.col("language") == "und")
     most = F.when((F.col("list") >= F.col("table")) & (F.col("list") >= F.col("junk")), "list").when(F.col("table") >= F.col("junk"), "table").otherwise("junk")
-    return scored.withColumn("outlier", outlier).withColumn("text_class", F.when(F.col("outlier") & (F.col("prose") < 0.5), most).otherwise("prose")).drop("_n")
+    return scored.withColumn("outlier", outlier).withColumn("text_class", F.when(F.col("prose") < 0.5, most).otherwise("prose"))
