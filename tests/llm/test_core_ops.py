@@ -410,6 +410,27 @@ def test_subjects(spark):
     assert subjects.subject_areas(df, sm.limit(0), areas).count() == 0 and subjects.subject_areas(df.limit(0), sm, areas).count() == 0
 
 
+def test_terms_of_distinct_texts(spark):
+    """Copies of a text make no terms of its words; terms joined give what terms sent give."""
+    rng = random.Random(4)
+    names, first = ["law", "sport"], {"gericht": 0, "klage": 0, "tor": 1, "pokal": 1}
+    law = [f"Das Gericht prüft die Klage {w}. Die Klage ruht, Zeuge kommt. Das Gericht wartet." for w in ("heute", "bald", "nie", "oft")]
+    copied = "Das Gericht prüft die Klage. Die Klage nennt Zylinder und Walnuss. Das Gericht wartet."
+    docs = [*law, *[copied] * 30, "Der Zylinder liegt im Schrank. Dort ist es dunkel."]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    found = subjects.corpus_terms(df, names, first)
+    terms = found if isinstance(found, dict) else {r["word"]: r["label"] for r in found.collect()}
+    assert terms.get("zeuge") == 0 and not {"zylinder", "walnuss", "nennt"} & set(terms)
+
+    samples = [(s, f"Der {a} sucht den {b}. Der alte Hut ist nass.") for s, ws in (("law", ["gericht", "klage"]), ("sport", ["tor", "pokal"]), ("music", ["geige", "akkord"])) for a in ws for b in ws]
+    sm = spark.createDataFrame(samples, "subject string, text string")
+    areas = spark.createDataFrame([("law",), ("sport",), ("music",)], "subject string")
+    more = [f"Das Tor und der Pokal {rng.random()}. Ein Pokal steht am Tor. Der alte Hut ist nass." for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(docs + more + [None, ""])), "doc_id long, text string")
+    sent, joined = ({tuple(r) for r in subjects.subject_areas(df, sm, areas, most=k).collect()} for k in (50_000, 0))
+    assert sent == joined and {(k, "law") for k in range(4)} <= sent
+
+
 def test_held_out_accuracy(spark, data):
     rows = [(r["subject"], r["text"]) for r in spark.read.parquet(f"{data}/subject_samples.parquet").orderBy("sample_id").collect()]
     names, terms = subjects.sample_terms(rows[::2])

@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.tables import filled
+from textloom.session import Workspace
 
 #: Bound of the labelled rows that the classifier is fitted on, by hash of the text beyond it.
 MAX_SAMPLES = 20_000
-#: Bound of the model's vocabulary, the most frequent first beyond it.
-MAX_TERMS = 50_000
+#: So many terms are sent to the tasks; more are joined to the documents' words instead.
+SENT_TERMS = 50_000
 #: A term occurs at least so often, and so purely, under its subject: in the samples, in the documents.
 SAMPLE_COUNT, SAMPLE_PURITY, CORPUS_COUNT, CORPUS_PURITY = 2, 0.9, 3, 0.6
 #: First guess: so much of the text, and so many sentences.
@@ -127,8 +128,13 @@ def sample_terms(samples: list[tuple[str, str]]) -> tuple[list[str], dict[str, i
     return subjects, terms
 
 
-def corpus_terms(documents: DataFrame, subjects: list[str], first: dict[str, int]) -> dict[str, int]:
-    """Words that keep to documents of one subject, by counts over all documents."""
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """Columns key and text, each text once; copies are reduced before they are shuffled."""
+    return documents.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"))
+
+
+def corpus_terms(documents: DataFrame, subjects: list[str], first: dict[str, int]) -> DataFrame:
+    """Rows word, label: words that keep to texts of one subject, by counts over all distinct texts."""
     k = len(subjects)
     sent = documents.sparkSession.sparkContext.broadcast(first)
 
@@ -146,11 +152,25 @@ def corpus_terms(documents: DataFrame, subjects: list[str], first: dict[str, int
             words = pa.array(t.words, pa.string()).take(pa.array(cell // (k + 1)))
             yield pa.RecordBatch.from_arrays([words, pa.array((cell % (k + 1)).astype(np.int32)), pa.array(count.astype(np.int64))], names=["word", "label", "n"])
 
-    rows = documents.mapInArrow(run, "word string, label int, n long").where(~F.col("word").rlike(r"\p{N}") & (F.length("word") > 0))
+    rows = distinct_texts(documents).select("text").mapInArrow(run, "word string, label int, n long").where(~F.col("word").rlike(r"\p{N}") & (F.length("word") > 0))
     labels = rows.groupBy("word", "label").agg(F.sum("n").alias("n"))
     best = labels.groupBy("word").agg(F.sum("n").alias("all"), F.max(F.when(F.col("label") < k, F.struct("n", "label"))).alias("best"))
-    terms = best.where((F.col("best.n") >= CORPUS_COUNT) & (F.col("best.n") >= CORPUS_PURITY * F.col("all"))).select("word", "best.label", "best.n")
-    return {r["word"]: r["label"] for r in terms.orderBy(F.desc("n"), "word").limit(MAX_TERMS).collect()}
+    return best.where((F.col("best.n") >= CORPUS_COUNT) & (F.col("best.n") >= CORPUS_PURITY * F.col("all"))).select("word", "best.label")
+
+
+def with_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that have a term, with their terms as an array of word and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Tokens(batch.column("text"))
+            pair = np.unique(t.code * np.int64(t.docs) + t.doc)
+            word, doc = pair // max(1, t.docs), pair % max(1, t.docs)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), pa.array(t.words, pa.string()).take(pa.array(word))], names=["key", "word"])
+
+    words = distinct_texts(texts).mapInArrow(run, "key string, word string")
+    found = words.join(terms, "word").groupBy("key").agg(F.collect_list(F.struct("word", "label")).alias("terms"))
+    return texts.withColumn("key", F.md5("text")).join(found, "key").drop("key")
 
 
 class Chain:
@@ -269,12 +289,12 @@ def compose(samples: list[tuple[str, str]], subjects: list[str], terms: dict[str
     return features, count, labels
 
 
-def subject_areas(documents: DataFrame, samples: DataFrame, areas: DataFrame) -> DataFrame:
+def subject_areas(documents: DataFrame, samples: DataFrame, areas: DataFrame, most: int = SENT_TERMS) -> DataFrame:
     """Rows doc_id, subject, each once: the subjects of each document, for many of them none.
 
     ``samples`` has subject and text; those whose subject isn't among ``areas`` count for
     nothing, as null and blank ones do. Null, empty and blank documents have no subject;
-    without samples no document has.
+    without samples no document has. More than ``most`` terms are joined, not sent.
     """
     spark = documents.sparkSession
     known = samples.where(filled("text")).join(areas.select("subject").distinct(), "subject", "left_semi").select("subject", "text").distinct()
@@ -283,17 +303,26 @@ def subject_areas(documents: DataFrame, samples: DataFrame, areas: DataFrame) ->
         return spark.createDataFrame([], "doc_id long, subject string")
     texts = documents.where(filled("text") & F.col("doc_id").isNotNull()).select("doc_id", F.regexp_replace("text", FRONT, "").alias("text"))
     subjects, first = sample_terms(rows)
-    terms = corpus_terms(texts, subjects, first)
-    # terms that no document shows are as good as the samples make them
-    features, count, labels = compose(rows, subjects, terms or first)
+    vocabulary = Workspace(spark, "subjects").put(corpus_terms(texts, subjects, first), "terms")
+    joined = vocabulary.count() > most
+    if joined:  # the samples need the terms among their own words only
+        own = spark.createDataFrame([(w,) for w in Tokens(pa.array([text for _, text in rows], pa.string())).words], "word string")
+        texts = with_terms(texts, vocabulary)
+    terms = {r["word"]: r["label"] for r in (vocabulary.join(own, "word") if joined else vocabulary).collect()}
+    if not joined and not terms:  # terms that no document shows are as good as the samples make them
+        terms = first
+    features, count, labels = compose(rows, subjects, terms)
     held = np.arange(len(labels)) % 3 == 0
     chain = Chain(len(subjects)).fit(features, count, labels, held)
-    sent = spark.sparkContext.broadcast((subjects, terms or first, chain))
+    sent = spark.sparkContext.broadcast((subjects, {} if joined else terms, chain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subjects, terms, chain = sent.value
         for batch in batches:
             t = Tokens(batch.column("text"))
+            if joined:
+                flat = batch.column("terms").flatten()
+                terms = dict(zip(flat.field("word").to_pylist(), flat.field("label").to_pylist()))
             features, count = t.describe(t.evidence(terms, len(subjects)))
             some = features[:, :, 0].any(axis=1)
             out = np.zeros((t.docs, len(subjects)), bool)
