@@ -27,3 +27,16 @@ def test_needles_anywhere_in_the_notes(spark, tmp_path):
     want = [k for k, n in needles.items() if n and not any(n in note for note in notes)]
     assert sorted(want) == [6, 7, 8, 9]
     assert sorted(r.doc_id for r in chat.not_researched(spark, str(tmp_path)).collect()) == want
+
+
+def test_copies_are_near_duplicates(spark, tmp_path):
+    text = lambda w: " ".join(f"{w}{k}" for k in range(12))
+    bodies = {1: text("hut"), 2: text("turm"), 3: text("hut"), 4: text("hut") + " und mehr", 5: text("hut").upper() + "  ", 6: text("turm"), 7: text("bach"), 8: None, 9: None, 10: " ", 11: text("hut") + " und mehr"}
+    rows = [(k, body) for k, body in bodies.items()]
+    spark.createDataFrame(rows + rows[2:4], "file_id long, body string").write.parquet(f"{tmp_path}/incoming_files.parquet")
+    sets = {r.file_id: set(r.s) for r in spark.createDataFrame(rows, "file_id long, body string").select("file_id", T.plain_shingles(T.F.col("body")).alias("s")).collect() if r.s}
+    like = {k: [j for j in sets if j < k and len(sets[j] & sets[k]) / len(sets[j] | sets[k]) >= 0.4] for k in sets}
+    want = {k: (len(found), min(found)) for k, found in like.items() if found}
+    assert want == {3: (1, 1), 4: (2, 1), 5: (3, 1), 6: (1, 2), 11: (4, 1)}
+    got = chat.near_dup_messages(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.file_id: (r.n_links, r.first_id) for r in got} == want

@@ -134,15 +134,29 @@ _PLAIN = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{S}+'),
     u AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s), p AS (SELECT a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*)) AS sim FROM u a JOIN u b USING (x) WHERE a.id < b.id GROUP BY a.id, b.id, a.n, b.n)
     SELECT b AS file_id, count(*) AS n_links, min(a) AS first_id FROM p WHERE sim >= 4e-1 GROUP BY b""")
 def near_dup_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that say nearly what an earlier one says (0.4 of their three-word runs): the number and the first of these. Copies count once, under their lowest id."""
+    """Files that say nearly what an earlier one says (0.4 of their three-word runs): the number and the first of these.
+
+    Bodies of equal runs are one class, compared once; each file then counts the files
+    before it in its own class and in the similar ones.
+    """
     from textloom.operators.similarity import self_candidates
 
-    docs = spread(table(spark, d, "incoming_files")).where("body is not null").groupBy(F.md5("body").alias("h")).agg(F.min("file_id").alias("id"), F.first("body").alias("text"))
-    sets = Workspace(spark, "messages").put(docs.select("id", T.plain_shingles(F.col("text")).alias("members")).where(F.size("members") > 0), "sets")
-    pairs = self_candidates(sets, "members", 0.4)
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("members").alias(f"m{s}"))
-    similar = pairs.join(side("a"), "a").join(side("b"), "b").where(T.jaccard(F.col("ma"), F.col("mb")) >= 0.4)
-    return similar.groupBy(F.col("b").alias("file_id")).agg(F.count("*").alias("n_links"), F.min("a").alias("first_id"))
+    ws = Workspace(spark, "messages")
+    files = spread(table(spark, d, "incoming_files")).where("body is not null and file_id is not null").select("file_id", F.sort_array(T.plain_shingles(F.col("body"))).alias("members")).where(F.size("members") > 0)
+    files = ws.put(files.withColumn("class", F.md5(F.array_join("members", "\n"))), "files")
+    rows = files.select("file_id", "class").distinct()
+    lowest = files.groupBy("class").agg(F.first("members").alias("members"))
+    sets = ws.put(lowest, "sets")
+    pairs = self_candidates(sets.select(F.col("class").alias("id"), "members"), "members", 0.4)
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("members").alias(f"m{s}"))
+    similar = ws.put(pairs.join(side("a"), "a").join(side("b"), "b").where(T.jaccard(F.col("ma"), F.col("mb")) >= 0.4).select("a", "b"), "similar")
+    # the files of a class and of one like it in the order of their numbers: those of the latter before each of the former
+    both = similar.union(similar.select("b", "a")).union(sets.select("class", "class"))
+    asked = both.join(rows.withColumnRenamed("class", "a"), "a").select("a", "b", "file_id", F.lit(None).cast(files.schema["file_id"].dataType).alias("earlier"))
+    there = both.join(rows.withColumnRenamed("class", "b"), "b").select("a", "b", "file_id", F.col("file_id").alias("earlier"))
+    before = Window.partitionBy("a", "b").orderBy("file_id").rangeBetween(Window.unboundedPreceding, -1)
+    counted = asked.union(there).withColumn("n", F.count("earlier").over(before)).withColumn("first", F.min("earlier").over(before))
+    return counted.where("earlier is null and n > 0").groupBy("file_id").agg(F.sum("n").alias("n_links"), F.min("first").alias("first_id"))
 
 
 @query("""WITH u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10) || chr(10)), 1) - 1 AS seq FROM documents)
