@@ -169,6 +169,17 @@ def test_natural_boundaries():
     assert len(got) == 3 and all(text[:e].endswith("\n\n") for _, e, _, _ in got[:-1])
 
 
+@pytest.mark.parametrize("size", [7400, 7519, 7525, 7560, 7599, 7700, 11285, 11330, 11399, 15100, 15199])
+def test_boundaries_at_any_size(size):
+    text = "\n\n".join("Ein Satz über den Hut steht hier. " * 7 for _ in range(80))[:size]
+    got = pieces.cut(text)
+    assert all(text[:e].endswith("\n\n") for _, e, _, _ in got[:-1]) and all(e - s <= 4000 for s, e, _, _ in got)
+
+
+def test_only_boundary_off_the_target():
+    assert [(e, w > 0) for _, e, _, w in pieces.cut("x" * 3790 + " " + "x" * 3750)] == [(3791, True), (7541, True)]
+
+
 def test_pieces_by_table(spark):
     df = spark.createDataFrame([("c", 1, 0, "x" * 4000), ("c", 2, None, "y " * 3000), ("c", 3, 1, None), ("c", 4, 2, "")], "origin string, item_id long, chapter_index int, content string")
     got = pieces.split_long(df.withColumn("text", F.lit("clash"))).collect()

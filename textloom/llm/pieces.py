@@ -2,11 +2,15 @@
 
 The fewest pieces that can hold the text give equally spaced targets; each target moves
 to the strongest boundary near it. Where a piece then exceeds the limit, one more piece
-is planned and the targets are placed anew.
+is planned and the targets are placed anew. Beside this plan stand one that looks for
+boundaries as far as the targets beside each target, and one with as many pieces as leave
+a tenth of a piece on both sides of the targets; the plan with the fewest cuts off
+boundaries is taken, of equals one with room around its targets, then the one of fewest pieces.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -59,6 +63,21 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     slack_back = overlap // 5
     room = limit - overlap - slack_back
     count = max(2, -(-(size - overlap) // (limit - overlap)))
+    plans = [_plan(text, limit, overlap, count, False)]
+    if BOUNDARIES[-1].search(text, 1):
+        plans += [_plan(text, limit, overlap, n, True) for n in (count, max(count, math.ceil(size * 1.1 / room)))]
+
+    def fault(pieces: list[tuple[int, int, int, int]]) -> tuple[int, bool, int]:
+        bare = sum(not strength for *_, strength in pieces)
+        return bare, not bare and size * 1.1 > room * len(pieces), len(pieces)
+
+    return min(plans, key=fault)
+
+
+def _plan(text: str, limit: int, overlap: int, count: int, far: bool) -> list[tuple[int, int, int, int]]:
+    """Pieces for ``count`` targets, or as many more as the limit needs; far: look up to the next targets for a boundary."""
+    size, slack_back = len(text), overlap // 5
+    room = limit - overlap - slack_back
     while True:
         step = size / count
         radius = int(max(0, min((room - step), step / 3)))
@@ -69,6 +88,10 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             else:
                 target = round(k * step)
                 end, strength = _nearest(text, target, max(at + 1, target - radius), min(size - 1, target + radius)) if radius else (target, 0)
+                if far and not strength:
+                    low, high = max(at + 1, target - int(step) + 1), min(size - 1, begin + limit, target + int(step) - 1)
+                    place, found = _nearest(text, target, low, high) if low < high else (end, 0)
+                    end, strength = (place, found) if found else (end, 0)
             pieces.append((begin, end, back, strength))
             at = end
             begin = max(pieces[-1][0] + 1, end - overlap)
