@@ -1,20 +1,21 @@
-"""Deduplicating new batches against all history, by multi-key sorted-neighbourhood runs.
+"""Deduplicating new batches against all history, by equal keys in sorted runs.
 
 Every record has BANDS sort keys, each made of DEPTH minima of its set of five-word runs
 under different hash functions, so that similar records are likely to have the same key.
 The keys of all accepted records are kept as sorted runs in a folder. A new batch brings a
-run of its own; of the history only the key ranges around the new records are read. In a
-range, new records are first compared with the oldest record, HEADS times in a row, which
+run of its own, which is joined with the keys of all runs by equality; neighbours in the sort
+order that have no equal key don't meet. Under a key, new records are first compared with the oldest record, HEADS times in a row, which
 settles the members of large families of copies; the ones that may still find something
 older are then compared with all that came before. Runs are merged into one when there are
 many.
 
 Records with equal sets form a class, for which its oldest record stands in all
 comparisons; so a class that holds a third of all rows costs no more than a single record.
-Passages that many records share bring unlike records into one range: a sketch of one bit
+Passages that many records share bring unlike records under one key: a sketch of one bit
 per minimum tells them apart inside the join, before their sets are fetched for the exact
 comparison. A pair of similarity s shares no key with probability (1 - s³) ** BANDS: at
-0.65 that is 2e-7, at 0.7 3e-9; the sketch loses one of 0.65 with probability 1e-6.
+0.65 that is 2e-7, at 0.7 3e-9; the sketch loses one of 0.65 with probability 1e-6. At
+exactly 0.5 both together lose about one in a hundred.
 """
 
 from __future__ import annotations
