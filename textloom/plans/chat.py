@@ -71,8 +71,8 @@ def open_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH q AS ({TEXT_SQL['search_query']}), n AS (SELECT doc_id, query, trim(lower(substring(query, 1, 50)), ' ' || chr(10) || chr(9) || chr(13)) AS needle FROM q WHERE query <> ''),
-    k AS (SELECT DISTINCT trim(lower(substring(coalesce(text, ''), 1, 50)), ' ' || chr(10) || chr(9) || chr(13)) AS known FROM documents WHERE doc_kind = 'blog')
-    SELECT n.doc_id FROM n WHERE n.needle <> '' AND n.needle NOT IN (SELECT known FROM k)""")
+    k AS (SELECT DISTINCT lower(text) AS note FROM documents WHERE doc_kind = 'blog' AND text IS NOT NULL)
+    SELECT n.doc_id FROM n WHERE n.needle <> '' AND NOT EXISTS (SELECT 1 FROM k WHERE contains(k.note, n.needle))""")
 def not_researched(spark: SparkSession, d: str) -> DataFrame:
     """Texts whose query's first 50 characters occur in none of the notes (blog entries), whatever the case.
 
@@ -130,7 +130,7 @@ _PLAIN = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{S}+'),
 
 
 @query(f"""
-    WITH w AS (SELECT min(file_id) AS id, {_PLAIN} AS w FROM (SELECT file_id, body AS text FROM incoming_files) WHERE text IS NOT NULL GROUP BY text), s AS (SELECT id, {sql_runs('w', 3)} AS s FROM w),
+    WITH w AS (SELECT id, {_PLAIN} AS w FROM (SELECT DISTINCT file_id AS id, body AS text FROM incoming_files) WHERE text IS NOT NULL), s AS (SELECT id, {sql_runs('w', 3)} AS s FROM w),
     u AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s), p AS (SELECT a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*)) AS sim FROM u a JOIN u b USING (x) WHERE a.id < b.id GROUP BY a.id, b.id, a.n, b.n)
     SELECT b AS file_id, count(*) AS n_links, min(a) AS first_id FROM p WHERE sim >= 4e-1 GROUP BY b""")
 def near_dup_messages(spark: SparkSession, d: str) -> DataFrame:

@@ -107,16 +107,13 @@ _CLASSES = f"""
     co AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM ce a JOIN ce b USING (x) WHERE a.id < b.id GROUP BY 1, 2)"""
 
 
-def _sims(pairs: str) -> str:
-    """SQL for both similarities of the pairs of classes that aren't all from one source."""
-    return f"""
-    sims AS (SELECT p.a, p.b,
+#: Both similarities of all pairs of classes that aren't all from one source, whether they share anything or not.
+_SIMS = f"""{_CLASSES},
+    sims AS (SELECT x.id AS a, y.id AS b,
         CASE WHEN len(x.words) = 0 AND len(y.words) = 0 THEN 1e0 ELSE len(list_intersect(x.words, y.words)) / (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))) END AS title_sim,
         CASE WHEN len(x.members) = 0 AND len(y.members) = 0 THEN 1e0 ELSE coalesce(co.n, 0) / (len(x.members) + len(y.members) - coalesce(co.n, 0)) END AS content_sim
-      FROM {pairs} p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b LEFT JOIN co ON co.a = p.a AND co.b = p.b WHERE NOT (x.low = x.high AND y.low = y.high AND x.low = y.low))"""
-
-
-_STRICT = f"{_CLASSES}, {_sims('co')}, strict AS (SELECT * FROM sims WHERE content_sim >= 4e-1 OR (title_sim >= 8e-1 AND content_sim >= 15e-2) OR (title_sim >= 99e-2 AND content_sim >= 1e-1))"
+      FROM k x JOIN k y ON x.id < y.id AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low) LEFT JOIN co ON co.a = x.id AND co.b = y.id)"""
+_STRICT = f"{_SIMS}, strict AS (SELECT * FROM sims WHERE content_sim >= 4e-1 OR (title_sim >= 8e-1 AND content_sim >= 15e-2) OR (title_sim >= 99e-2 AND content_sim >= 1e-1))"
 
 
 @query(f"WITH {_STRICT} SELECT * FROM strict")
@@ -131,17 +128,7 @@ def class_members(spark: SparkSession, d: str) -> DataFrame:
     return M.class_membership(table(spark, d, "chapters"))
 
 
-_LOOSE = f"""{_CLASSES},
-    t1 AS (SELECT words, min(id) AS id FROM k WHERE len(words) > 0 GROUP BY words),
-    t2 AS (SELECT t1.id, unnest(words) AS x, len(words) AS n FROM t1),
-    t3 AS (SELECT a.id AS a, b.id AS b FROM t2 a JOIN t2 b USING (x) WHERE a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 5e-1),
-    lp AS (SELECT a, b FROM co UNION SELECT a, b FROM t3 UNION SELECT t1.id, k.id FROM k JOIN t1 USING (words) WHERE k.id > t1.id
-        UNION SELECT m, k.id FROM k, (SELECT min(id) AS m FROM k WHERE len(members) = 0) WHERE len(members) = 0 AND k.id > m
-        UNION SELECT m, k.id FROM k, (SELECT min(id) AS m FROM k WHERE len(words) = 0) WHERE len(words) = 0 AND k.id > m),
-    {_sims('lp')}, tp AS (SELECT a, b FROM lp EXCEPT SELECT a, b FROM co), loose AS (SELECT sims.* FROM sims LEFT JOIN tp USING (a, b) WHERE content_sim >= 3e-1 OR (title_sim >= 5e-1 AND (a, b) IN (SELECT a, b FROM t3 UNION SELECT t1.id, k.id FROM k JOIN t1 USING (words) WHERE k.id > t1.id UNION SELECT m, k.id FROM k, (SELECT min(id) AS m FROM k WHERE len(words) = 0) WHERE len(words) = 0 AND k.id > m)))"""
-
-
-@query(f"WITH {_LOOSE} SELECT * FROM loose")
+@query(f"WITH {_SIMS} SELECT * FROM sims WHERE title_sim >= 5e-1 OR content_sim >= 3e-1")
 def cross_source_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chapter classes with similar titles or contents; with class_members, every link between chapters."""
     classes = Workspace(spark, "classes").put(M.chapter_classes(table(spark, d, "chapters")), "classes")
@@ -169,8 +156,8 @@ def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 _COMPONENTS = f"""{_STRICT},
-    ms AS (SELECT cs.chapter_id, k.id AS class_id, k.low, k.high, len(k.members) AS n FROM cs JOIN k ON k.words = cs.words AND k.members = cs.members),
-    e0 AS (SELECT a, b FROM strict UNION SELECT class_id, chapter_id FROM ms WHERE class_id <> chapter_id AND ((low <> high AND n > 0) OR class_id IN (SELECT a FROM strict UNION SELECT b FROM strict))),
+    ms AS (SELECT cs.chapter_id, k.id AS class_id, k.low, k.high FROM cs JOIN k ON k.words = cs.words AND k.members = cs.members),
+    e0 AS (SELECT a, b FROM strict UNION SELECT class_id, chapter_id FROM ms WHERE class_id <> chapter_id AND (low <> high OR class_id IN (SELECT a FROM strict UNION SELECT b FROM strict))),
     e1 AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
     r(a, b) AS (SELECT a, a FROM e1 UNION SELECT r.a, e1.b FROM r JOIN e1 ON e1.a = r.b),
     comp AS (SELECT a AS chapter_id, min(b) AS component FROM r GROUP BY a)"""
@@ -193,7 +180,7 @@ def _winners(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH RECURSIVE {_WINNERS} SELECT component, winner, score, n_members FROM win".replace("WITH s AS", "WITH s AS"))
+@query(f"WITH RECURSIVE {_WINNERS} SELECT component, winner, score, n_members FROM win")
 def merge_winners(spark: SparkSession, d: str) -> DataFrame:
     """The chapter with the highest score of each component, of equals the lowest."""
     return _winners(spark, d)
