@@ -46,22 +46,23 @@ def sims(spark, folder):
     return {(x[0], y[0]): (jaccard(set(x.t), set(y.t)), jaccard(set(x.c), set(y.c))) for x, y in pairs if x.source_file != y.source_file}
 
 
-def between_chapters(spark, folder, pairs):
+def between_chapters(spark, folder, pairs, *kinds):
     """The links between chapters that pairs of classes and class_members stand for."""
     source = {r[0]: r[3] for r in CHAPTERS}
-    members = {}
+    members = {kind: {} for kind in kinds}
     for r in matching.class_members(spark, folder).collect():
-        members.setdefault(r.class_id, []).append(r.chapter_id)
-    both = [(r.a, r.b) for r in pairs.collect()]
+        for kind in kinds:
+            members[kind].setdefault(r[f"{kind}_id"], []).append(r.chapter_id)
+    both = [(r["kind"] if "kind" in pairs.columns else kinds[0], r.a, r.b) for r in pairs.collect()]
     assert len(both) == len(set(both))
-    both += [(k, k) for k in members]
-    return {(min(x, y), max(x, y)) for a, b in both for x in members[a] for y in members[b] if source[x] != source[y]}
+    both += [(kind, k, k) for kind in kinds for k in members[kind]]
+    return {(min(x, y), max(x, y)) for kind, a, b in both for x in members[kind][a] for y in members[kind][b] if source[x] != source[y]}
 
 
 def test_strict_pairs_with_empty_contents(spark, folder, sims):
     want = {p for p, (t, c) in sims.items() if c >= 0.4 or (t >= 0.8 and c >= 0.15) or (t >= 0.99 and c >= 0.1)}
     assert {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (3, 14)} <= want
-    assert between_chapters(spark, folder, matching.strict_pairs(spark, folder)) == want
+    assert between_chapters(spark, folder, matching.strict_pairs(spark, folder), "class") == want
 
 
 def test_components_with_empty_contents(spark, folder):
@@ -82,5 +83,5 @@ def test_cross_source_pairs_are_whole(spark, folder, sims):
     want = {p for p, (t, c) in sims.items() if t >= 0.5 or c >= 0.3}
     assert {(1, 3), (5, 7), (6, 7), (6, 8), (8, 9), (5, 10), (11, 13), (12, 13), (2, 4)} <= want
     pairs = matching.cross_source_pairs(spark, folder)
-    assert between_chapters(spark, folder, pairs) == want
-    assert all(sims[r.a, r.b] == pytest.approx((r.title_sim, r.content_sim)) for r in pairs.collect() if (r.a, r.b) in sims)
+    assert between_chapters(spark, folder, pairs, "title", "content") == want
+    assert all(sims[r.a, r.b][r.kind == "content"] == pytest.approx(r.sim) for r in pairs.collect() if (r.a, r.b) in sims)

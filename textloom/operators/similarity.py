@@ -3,39 +3,66 @@
 Two sets of a similarity of t or more share an element among the rarest of each: of n
 elements, rarest first, the first n - ceil(t n) + 1 suffice. Only these meet in the join,
 so that elements which many sets have, such as passages of boilerplate, bring no pairs
-together by themselves. Elements meet as 64-bit hashes, which can only add pairs; every
-pair that meets is then compared exactly.
+together by themselves. An element that one set alone has brings no pair at all: it keeps
+its place among the rarest, but no row.
+
+Elements are 64-bit hashes of the strings. Two strings of one set pair with the same hash
+would count as one; for two sets of a thousand elements each the chance is below 1e-13.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.session import Workspace, spread
 
 
-def rare_elements(sets: DataFrame, key: str, members: str, threshold: float, weights: DataFrame | None = None) -> DataFrame:
-    """Rows (key, element) for the rarest elements of each set that a join at the threshold needs."""
-    flat = sets.select(key, F.size(members).alias("n"), F.explode(members).alias("element")).withColumn("element", F.xxhash64("element"))
-    often = (flat if weights is None else weights).groupBy("element").agg(F.count("*").alias("often"))
-    ranked = flat.join(often, "element").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("often", "element")))
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(key, "element")
+def hashed(members: Column) -> Column:
+    """The set's elements as ascending 64-bit hashes."""
+    return F.array_sort(F.transform(members, lambda x: F.xxhash64(x)))
+
+
+def shared_elements(*sides: DataFrame) -> list[DataFrame]:
+    """For each table (id, members): rows id, n, element, often of the elements that more than one set has.
+
+    n is the size of the whole set, often the number of sets of all the tables with the element.
+    """
+    flat = [s.select("id", F.size("members").alias("n"), F.explode("members").alias("element")) for s in sides]
+    both = flat[0].select("element")
+    for f in flat[1:]:
+        both = both.union(f.select("element"))
+    often = both.groupBy("element").agg(F.count("*").alias("often")).where("often > 1")
+    return [f.join(often, "element").select("id", "n", "element", "often") for f in flat]
+
+
+def prefix(shared: DataFrame, threshold: float) -> DataFrame:
+    """Rows id, n, element: of each set's elements the rarest that a join at the threshold needs."""
+    own = Window.partitionBy("id")
+    ranked = shared.withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "element")))
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "element")
 
 
-def candidates(left: DataFrame, right: DataFrame, a: str, b: str, members: str, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ids that may reach the threshold; ``left`` and ``right`` have id and members."""
-    both = left.select(F.explode(members).alias("element")).union(right.select(F.explode(members).alias("element"))).select(F.xxhash64("element").alias("element"))
-    x = rare_elements(left, "id", members, threshold, both).withColumnRenamed("id", a)
-    y = rare_elements(right, "id", members, threshold, both).withColumnRenamed("id", b)
-    return x.join(y, "element").select(a, b).distinct()
+def met(left: DataFrame, right: DataFrame | None, threshold: float, *keys: str) -> DataFrame:
+    """Pairs (a, b) of prefixes that share the keys and have sizes the threshold allows; of one table, a < b."""
+    x = left.select(F.col("id").alias("a"), F.col("n").alias("na"), *keys)
+    y = (left if right is None else right).select(F.col("id").alias("b"), F.col("n").alias("nb"), *keys)
+    near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    pairs = x.join(y, list(keys)).where(near)
+    return (pairs.where("a < b") if right is None else pairs).select("a", "b").distinct()
 
 
-def self_candidates(sets: DataFrame, members: str, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of one table with id and members."""
-    x = rare_elements(sets, "id", members, threshold)
-    return x.withColumnRenamed("id", "a").join(x.withColumnRenamed("id", "b"), "element").where("a < b").select("a", "b").distinct()
+def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Adds sim, the exact similarity, to pairs (a, b) of sets (id, members)."""
+    both = pairs.join(left.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(right.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+    return both.select(*pairs.columns, T.jaccard(F.col("ma"), F.col("mb")).alias("sim"))
+
+
+def self_similar(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, sim), a < b, of the sets (id, members) at or above the threshold; empty sets have none."""
+    (shared,) = shared_elements(sets)
+    return compared(met(prefix(shared, threshold), None, threshold, "element"), sets, sets).where(F.col("sim") >= threshold)
 
 
 def kb_overlaps(incoming: DataFrame, kb: DataFrame) -> DataFrame:
@@ -46,7 +73,7 @@ def kb_overlaps(incoming: DataFrame, kb: DataFrame) -> DataFrame:
 
 
 def kb_similar(incoming: DataFrame, kb: DataFrame) -> DataFrame:
-    """Overlapping pairs with their similarity; ``incoming`` and ``kb`` hold each set once."""
+    """Overlapping pairs with their similarity; ``incoming`` and ``kb`` hold each id once."""
     sizes = kb.select("kb_id", F.size("members").alias("nb"))
     return (
         kb_overlaps(incoming, kb)
@@ -58,116 +85,104 @@ def kb_similar(incoming: DataFrame, kb: DataFrame) -> DataFrame:
 
 def kb_above(incoming: DataFrame, kb: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a similarity of the threshold or more: id, kb_id, sim. Both hold id or kb_id, and members."""
-    pairs = candidates(incoming.select("id", "members"), kb.select(F.col("kb_id").alias("id"), "members"), "id", "kb_id", "members", threshold)
-    both = pairs.join(incoming.select("id", F.col("members").alias("a")), "id").join(kb.select("kb_id", F.col("members").alias("b")), "kb_id")
-    return both.select("id", "kb_id", T.jaccard(F.col("a"), F.col("b")).alias("sim")).where(F.col("sim") >= threshold)
+    entries = kb.select(F.col("kb_id").alias("id"), "members")
+    x, y = (prefix(s, threshold) for s in shared_elements(incoming.select("id", "members"), entries))
+    return compared(met(x, y, threshold, "element"), incoming, entries).where(F.col("sim") >= threshold).select(F.col("a").alias("id"), F.col("b").alias("kb_id"), "sim")
 
 
-def chapter_classes(chapters: DataFrame) -> DataFrame:
-    """Chapters with the same title words and shingles as one class, under its lowest chapter_id.
+def representatives(sets: DataFrame, id: str) -> DataFrame:
+    """Rows id, set, members: each distinct set once, under its lowest id. ``sets`` has the id, set and members."""
+    first = sets.groupBy("set").agg(F.min(id).alias(id))
+    return sets.join(first, ["set", id]).dropDuplicates([id]).select(id, "set", "members")
 
-    Columns id, members (content), words (title), n_members, lowest and highest source.
-    """
+
+def set_key(*columns: str) -> Column:
+    """128 bits of hash for the values of the columns; null values count as absent ones do."""
+    return F.concat(F.hex(F.xxhash64(F.lit(1), *columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), *columns)))
+
+
+def chapter_sets(chapters: DataFrame) -> DataFrame:
+    """Each chapter once: chapter_id, source, words (title), members (content), and the keys title and content."""
     c = spread(chapters.select("chapter_id", "title", "content", "source_file"))
     sets = c.select(
         "chapter_id", F.coalesce("source_file", F.lit("")).alias("source"),
-        F.sort_array(T.title_words(F.col("title"))).alias("words"), F.sort_array(T.shingles(F.col("content"), stopwords=T.STOPWORDS)).alias("members"),
-    ).withColumn("class", F.md5(F.concat(F.array_join("words", " "), F.lit("\n"), F.array_join("members", "\n")))).dropDuplicates(["chapter_id"])
-    kept = sets.groupBy("class").agg(F.min("chapter_id").alias("id"), F.count("*").alias("n_members"), F.min("source").alias("low"), F.max("source").alias("high"))
-    return kept.join(sets.select("class", F.col("chapter_id").alias("id"), "words", "members"), ["class", "id"])
+        F.array_sort(T.title_words(F.col("title"))).alias("words"), hashed(T.shingles(F.col("content"), stopwords=T.STOPWORDS)).alias("members"),
+    ).dropDuplicates(["chapter_id"])
+    return sets.withColumn("title", set_key("words")).withColumn("content", set_key("members"))
 
 
-def class_membership(chapters: DataFrame) -> DataFrame:
-    c = spread(chapters.select("chapter_id", "title", "content"))
-    key = F.md5(F.concat(F.array_join(F.sort_array(T.title_words(F.col("title"))), " "), F.lit("\n"), F.array_join(F.sort_array(T.shingles(F.col("content"), stopwords=T.STOPWORDS)), "\n")))
-    keyed = c.select("chapter_id", key.alias("class")).dropDuplicates(["chapter_id"])
-    return keyed.join(keyed.groupBy("class").agg(F.min("chapter_id").alias("class_id")), "class").select("chapter_id", "class_id")
+def _class_key() -> Column:
+    """Chapters of the same title words and shingles; all without words of content are one class."""
+    return F.when(F.size("members") > 0, F.concat("title", F.lit("|"), "content")).otherwise(F.lit("empty"))
 
 
-def compact_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As scored_pairs, for classes in the form of compact."""
-    side = lambda s: classes.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("words", "few", "n", "low", "high")))
-    both = F.size(F.array_intersect("few_a", "few_b"))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where("not (low_a = high_a and low_b = high_b and low_a = low_b)")
-        .select(*pairs.columns, T.jaccard(F.col("words_a"), F.col("words_b")).alias("title_sim"), F.when(F.col("n_a") + F.col("n_b") == 0, 1.0).otherwise(both / (F.col("n_a") + F.col("n_b") - both)).alias("content_sim"))
-    )
+def classes(sets: DataFrame) -> DataFrame:
+    """Classes of equal chapters under their lowest chapter_id: id, words, members, n_members, low and high source."""
+    keyed = sets.withColumn("class", _class_key())
+    kept = keyed.groupBy("class").agg(F.min("chapter_id").alias("chapter_id"), F.count("*").alias("n_members"), F.min("source").alias("low"), F.max("source").alias("high"))
+    return kept.drop("class").join(sets.select("chapter_id", "words", "members"), "chapter_id").withColumnRenamed("chapter_id", "id")
 
 
-def scored_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds both similarities to pairs of classes that aren't all from one source."""
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("words").alias(f"w{s}"), F.col("members").alias(f"m{s}"), F.col("low").alias(f"l{s}"), F.col("high").alias(f"h{s}"))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(~((F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))))
-        .select(*pairs.columns, T.jaccard(F.col("wa"), F.col("wb")).alias("title_sim"), T.jaccard(F.col("ma"), F.col("mb")).alias("content_sim"))
-    )
-
+def class_membership(sets: DataFrame) -> DataFrame:
+    """Rows chapter_id, class_id, title_id and content_id: the lowest chapter of the same class, title words and shingles."""
+    keyed = sets.select("chapter_id", "title", "content", _class_key().alias("class"))
+    for key in ("class", "title", "content"):
+        # a class of a third of all rows is reduced to one row before the join, and its rows stay where they are if that is small
+        keyed = keyed.join(keyed.groupBy(key).agg(F.min("chapter_id").alias(f"{key}_id")), key).drop(key)
+    return keyed.select("chapter_id", "class_id", "title_id", "content_id")
 
-def empty_pairs(classes: DataFrame, column: str) -> DataFrame:
-    """All pairs (a, b), a < b, of classes whose set in the column is empty: two empty sets are as similar as can be."""
-    none = classes.where(F.size(column) == 0)
-    return none.select(F.col("id").alias("a")).join(none.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
 
+def _apart(x: str = "a", y: str = "b") -> Column:
+    """The classes aren't all from one source."""
+    return ~((F.col(f"low_{x}") == F.col(f"high_{x}")) & (F.col(f"low_{y}") == F.col(f"high_{y}")) & (F.col(f"low_{x}") == F.col(f"low_{y}")))
 
-def strict_pairs(classes: DataFrame) -> DataFrame:
-    """Content alone, or a similar title with less content, or the same title with little.
 
-    Classes without words of content are of equal content, so all of different sources are pairs.
-    """
-    none = scored_pairs(classes, empty_pairs(classes, "members"))
-    return worded_pairs(classes).unionByName(none)
+def _sides(table: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(table.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
 
 
-def worded_pairs(classes: DataFrame) -> DataFrame:
-    """The strict pairs of classes with words of content.
+def strict_pairs(known: DataFrame, ws: Workspace) -> DataFrame:
+    """Content alone, or a similar title with less content, or the same title with little, between classes.
 
+    Classes that are all from one source have no pair. Chapters without words of content have
+    equal contents: they are one class, and so linked across sources by their membership.
     Pairs that need a title meet by an element of both sets at once, so that neither passages
-    of boilerplate nor common titles bring pairs together by themselves.
+    of boilerplate nor common titles bring pairs together by themselves; chapters without a
+    title count as of one title.
     """
-    some = classes.where(F.size("members") > 0)
-    by_content = self_candidates(some, "members", 0.40)
-    none = some.where(F.size("words") == 0).select("id", F.lit(0).cast("long").alias("word"))
-    words = rare_elements(some.where(F.size("words") > 0), "id", "words", 0.80).withColumnRenamed("element", "word").union(none)
-    words = words.join(words.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word"), "word")
-    keyed = rare_elements(some.join(words.select("id").distinct(), "id", "left_semi"), "id", "members", 0.10).join(words, "id").select("id", F.xxhash64("element", "word").alias("key"))
-    by_both = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-    scored = scored_pairs(classes, by_content.union(by_both).distinct())
+    some = known.where(F.size("members") > 0)
+    shared = ws.put(shared_elements(some.select("id", "members"))[0], "shared")
+    by_content = met(prefix(shared, 0.40), None, 0.40, "element")
+    titled = some.where(F.size("words") > 0).select("id", hashed(F.col("words")).alias("members"))
+    words = prefix(shared_elements(titled)[0], 0.80).select("id", F.col("element").alias("word")).union(some.where(F.size("words") == 0).select("id", F.lit(0).cast("long").alias("word")))
+    keyed = prefix(shared, 0.10).join(words, "id")
+    pairs = by_content.union(met(keyed, None, 0.10, "element", "word")).distinct()
+    few = shared.groupBy("id").agg(F.collect_list("element").alias("few"))
+    # classes without shared elements meet nobody
+    side = _sides(some.join(few, "id").withColumn("n", F.size("members")), "words", "few", "n", "low", "high")
+    both = F.size(F.array_intersect("few_a", "few_b"))
+    scored = pairs.join(side[0], "a").join(side[1], "b").where(_apart()).select(
+        "a", "b", T.jaccard(F.col("words_a"), F.col("words_b")).alias("title_sim"), (both / (F.col("n_a") + F.col("n_b") - both)).alias("content_sim")
+    )
     c, t = F.col("content_sim"), F.col("title_sim")
     return scored.where((c >= 0.40) | ((t >= 0.80) & (c >= 0.15)) | ((t >= 0.99) & (c >= 0.10)))
 
 
-def loose_pairs(classes: DataFrame, title: float = 0.5, content: float = 0.3) -> DataFrame:
-    """Similar titles or similar contents: all pairs of classes that aren't all from one source.
+def loose_pairs(sets: DataFrame, ws: Workspace, title: float = 0.5, content: float = 0.3) -> DataFrame:
+    """Similar titles or similar contents of different sources: kind, a, b, sim.
 
-    Titles are compared once each; similar ones and each with itself then bring all their
-    classes together. Classes without words of content, or of title, are all alike in that.
-    The number of pairs grows with the square of the classes that share a title.
+    Rows of kind title are pairs of different title_id, those of kind content of different
+    content_id (see class_membership). A row stands for all pairs of their members of
+    different sources, and so does each title and each content that several sources have.
+    Pairs whose members are all from one source are left out. So the rows grow with the
+    texts that are similar without being equal, not with the chapters that share a title.
     """
-    by_content = self_candidates(classes.where(F.size("members") > 0), "members", content)
-    titles = classes.groupBy("words").agg(F.min("id").alias("id")).where(F.size("words") > 0)
-    met = self_candidates(titles, "words", title)
-    near = (
-        met.join(titles.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(titles.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        .where(T.jaccard(F.col("wa"), F.col("wb")) >= title)
-    )
-    alike = near.select(F.col("a").alias("ta"), F.col("b").alias("tb")).union(near.select("b", "a")).union(titles.select("id", "id"))
-    titled = classes.select("id", "words", "low", "high").join(titles.withColumnRenamed("id", "title"), "words")
-    side = lambda s: titled.select(F.col("id").alias(s), F.col("title").alias(f"t{s}"), F.col("low").alias(f"l{s}"), F.col("high").alias(f"h{s}"))
-    by_title = alike.join(side("a"), "ta").join(side("b"), "tb").where("a < b and not (la = ha and lb = hb and la = lb)").select("a", "b")
-    pairs = by_content.union(by_title).union(empty_pairs(classes, "members")).union(empty_pairs(classes, "words")).distinct()
-    scored = compact_pairs(compact(classes), pairs)
-    return scored.where((F.col("content_sim") >= content) | (F.col("title_sim") >= title))
-
 
-def compact(classes: DataFrame) -> DataFrame:
-    """The classes with numbers for the elements of their contents that several classes have, to compare many pairs.
+    def similar(kind: str, column: Column, threshold: float) -> DataFrame:
+        kept = sets.groupBy(kind).agg(F.min("chapter_id").alias("chapter_id"), F.min("source").alias("low"), F.max("source").alias("high")).drop(kind)
+        rows = kept.join(sets.select("chapter_id", column.alias("members")), "chapter_id").withColumnRenamed("chapter_id", "id").where(F.size("members") > 0)
+        rows = ws.put(rows, kind)
+        side = _sides(rows, "low", "high")
+        return self_similar(rows, threshold).join(side[0], "a").join(side[1], "b").where(_apart()).select(F.lit(kind).alias("kind"), "a", "b", "sim")
 
-    Columns id, words, low, high, few (the numbers) and n, the size of the whole set.
-    """
-    flat = classes.select("id", F.explode("members").alias("element"))
-    shared = flat.groupBy("element").agg(F.count("*").alias("c")).where("c > 1").select("element", F.monotonically_increasing_id().alias("number"))
-    shared = Workspace(classes.sparkSession, "shared").put(shared, "elements")  # a number stays the same for all that read it
-    few = flat.join(shared, "element").groupBy("id").agg(F.collect_list("number").alias("few"))
-    return classes.join(few, "id", "left").withColumn("few", F.coalesce("few", F.array().cast("array<bigint>"))).select("id", "words", "low", "high", "few", F.size("members").alias("n"))
+    return similar("title", hashed(F.col("words")), title).unionByName(similar("content", F.col("members"), content))

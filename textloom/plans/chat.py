@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import similarity as M
 from textloom.plans.common import S, sql_list, sql_runs, sql_strip, table
 from textloom.plans.texts import SQL as TEXT_SQL
 from textloom.session import Workspace, spread
@@ -139,19 +140,14 @@ def near_dup_messages(spark: SparkSession, d: str) -> DataFrame:
     Bodies of equal runs are one class, compared once; each file then counts the files
     before it in its own class and in the similar ones.
     """
-    from textloom.operators.similarity import self_candidates
-
     ws = Workspace(spark, "messages")
-    files = spread(table(spark, d, "incoming_files")).where("body is not null and file_id is not null").select("file_id", F.sort_array(T.plain_shingles(F.col("body"))).alias("members")).where(F.size("members") > 0)
-    files = ws.put(files.withColumn("class", F.md5(F.array_join("members", "\n"))), "files")
-    rows = files.select("file_id", "class").distinct()
-    lowest = files.groupBy("class").agg(F.first("members").alias("members"))
-    sets = ws.put(lowest, "sets")
-    pairs = self_candidates(sets.select(F.col("class").alias("id"), "members"), "members", 0.4)
-    side = lambda s: sets.select(F.col("class").alias(s), F.col("members").alias(f"m{s}"))
-    similar = ws.put(pairs.join(side("a"), "a").join(side("b"), "b").where(T.jaccard(F.col("ma"), F.col("mb")) >= 0.4).select("a", "b"), "similar")
+    files = spread(table(spark, d, "incoming_files")).where("body is not null and file_id is not null").select("file_id", M.hashed(T.plain_shingles(F.col("body"))).alias("members")).where(F.size("members") > 0)
+    files = ws.put(files.withColumn("class", M.set_key("members")).dropDuplicates(["file_id", "class"]), "files")
+    rows = files.select("file_id", "class")
+    sets = ws.put(files.groupBy("class").agg(F.min("file_id").alias("file_id")).join(files, ["class", "file_id"]).select(F.col("class").alias("id"), "members"), "sets")
+    similar = ws.put(M.self_similar(sets, 0.4).select("a", "b"), "similar")
     # the files of a class and of one like it in the order of their numbers: those of the latter before each of the former
-    both = similar.union(similar.select("b", "a")).union(sets.select("class", "class"))
+    both = similar.union(similar.select("b", "a")).union(sets.select("id", "id"))
     asked = both.join(rows.withColumnRenamed("class", "a"), "a").select("a", "b", "file_id", F.lit(None).cast(files.schema["file_id"].dataType).alias("earlier"))
     there = both.join(rows.withColumnRenamed("class", "b"), "b").select("a", "b", "file_id", F.col("file_id").alias("earlier"))
     before = Window.partitionBy("a", "b").orderBy("file_id").rangeBetween(Window.unboundedPreceding, -1)

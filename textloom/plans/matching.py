@@ -29,10 +29,19 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Incoming files and entries with their shingle sets, a repeated row once."""
-    incoming = spread(table(spark, d, "incoming_files")).select(F.col("file_id").alias("id"), "source_bucket", T.shingles(F.col("body")).alias("members")).dropDuplicates(["id"])
-    kb = spread(table(spark, d, "kb_entries")).select("kb_id", T.shingles(F.col("body")).alias("members"))
-    return incoming, kb
+    """Incoming files and entries with their shingle sets as hashes, a repeated row once."""
+    incoming = spread(table(spark, d, "incoming_files")).select(F.col("file_id").alias("id"), "source_bucket", M.hashed(T.shingles(F.col("body"))).alias("members")).dropDuplicates(["id"])
+    kb = spread(table(spark, d, "kb_entries")).select("kb_id", M.hashed(T.shingles(F.col("body"))).alias("members")).dropDuplicates(["kb_id"])
+    ws = Workspace(spark, "sides")
+    return tuple(ws.put(side.withColumn("set", M.set_key("members")), name) for side, name in ((incoming, "files"), (kb, "entries")))
+
+
+def _overlapping(incoming: DataFrame, kb: DataFrame) -> DataFrame:
+    """Rows set, kb_id, overlap, sim: equal sets on either side are compared once, and the entries' told apart afterwards."""
+    files = M.representatives(incoming, "id").where(F.size("members") > 0)
+    entries = M.representatives(kb, "kb_id").where(F.size("members") > 0)
+    found = M.kb_similar(files, entries).join(files.select("id", "set"), "id").drop("id")
+    return found.join(entries.select("kb_id", F.col("set").alias("other")), "kb_id").drop("kb_id").join(kb.select("kb_id", F.col("set").alias("other")), "other").drop("other")
 
 
 _INCOMING = f"""
@@ -49,26 +58,30 @@ _INCOMING = f"""
 def match_incoming(spark: SparkSession, d: str) -> DataFrame:
     """Each incoming file with its best entry, the similarity and the status; of equals the lowest kb_id."""
     incoming, kb = _sides(spark, d)
-    best = M.kb_similar(incoming, kb).groupBy("id").agg(F.max(F.struct("sim", (-F.col("kb_id")).alias("k"))).alias("best"))
+    files, entries = M.representatives(incoming, "id"), M.representatives(kb, "kb_id")
+    # the lowest entry of each set is the one to name
+    best = M.kb_similar(files, entries).groupBy("id").agg(F.max(F.struct("sim", (-F.col("kb_id")).alias("k"))).alias("best")).join(files.select("id", "set"), "id").drop("id")
     sim = F.coalesce("best.sim", F.lit(0.0))
-    return incoming.select("id", "source_bucket").join(best, "id", "left").select(
+    return incoming.select("id", "set", "source_bucket").join(best, "set", "left").select(
         F.col("id").alias("file_id"), "source_bucket", (-F.col("best.k")).alias("best_kb"), sim.alias("best_sim"), T.similarity_class(sim).alias("status")
     )
 
 
 def incoming_status(spark: SparkSession, d: str, near: float = 0.20) -> DataFrame:
     """Each incoming file with its status only: entries that share less than a status needs aren't compared."""
-    ws = Workspace(spark, "incoming")
-    incoming, kb = (ws.put(side, name) for side, name in zip(_sides(spark, d), ("files", "entries")))
-    best = M.kb_above(incoming.where(F.size("members") > 0), kb.where(F.size("members") > 0), near).groupBy("id").agg(F.max("sim").alias("sim"))
-    return incoming.select("id", "source_bucket").join(best, "id", "left").select("source_bucket", T.similarity_class(F.coalesce("sim", F.lit(0.0)), near).alias("status"))
+    incoming, kb = _sides(spark, d)
+    files = M.representatives(incoming, "id")
+    best = M.kb_above(files, M.representatives(kb, "kb_id"), near).groupBy("id").agg(F.max("sim").alias("sim")).join(files.select("id", "set"), "id").drop("id")
+    return incoming.select("set", "source_bucket").join(best, "set", "left").select("source_bucket", T.similarity_class(F.coalesce("sim", F.lit(0.0)), near).alias("status"))
 
 
 @query(f"WITH {_INCOMING} SELECT id AS file_id, kb_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, kb_id) AS r FROM o) WHERE r <= 20")
 def kb_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The twenty entries with the most shared shingles of each file."""
-    w = Window.partitionBy("id").orderBy(F.desc("overlap"), "kb_id")
-    return M.kb_overlaps(*_sides(spark, d)).withColumn("r", F.row_number().over(w)).where("r <= 20").select(F.col("id").alias("file_id"), "kb_id", "overlap")
+    incoming, kb = _sides(spark, d)
+    w = Window.partitionBy("set").orderBy(F.desc("overlap"), "kb_id")
+    ranked = _overlapping(incoming, kb).withColumn("r", F.row_number().over(w)).where("r <= 20")
+    return ranked.join(incoming.select("id", "set"), "set").select(F.col("id").alias("file_id"), "kb_id", "overlap")
 
 
 @query(f"WITH {_INCOMING} SELECT file_id, coalesce(best_kb, -1) AS best_kb, best_sim, status FROM m")
@@ -79,8 +92,9 @@ def kb_match(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_INCOMING}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, kb_id) AS r FROM p) SELECT id AS file_id, array_to_string(list(kb_id ORDER BY r), ',') AS others FROM r WHERE r BETWEEN 2 AND 4 AND sim > 1e-1 GROUP BY id")
 def alternates(spark: SparkSession, d: str) -> DataFrame:
     """Second to fourth best entries above a similarity of 0.1."""
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), "kb_id")
-    ranked = M.kb_similar(*_sides(spark, d)).withColumn("r", F.row_number().over(w)).where("r between 2 and 4 and sim > 0.1")
+    incoming, kb = _sides(spark, d)
+    w = Window.partitionBy("set").orderBy(F.desc("sim"), "kb_id")
+    ranked = _overlapping(incoming, kb).where("sim > 0.1").withColumn("r", F.row_number().over(w)).where("r between 2 and 4").join(incoming.select("id", "set"), "set")
     return ranked.groupBy(F.col("id").alias("file_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "kb_id"))), lambda x: x.kb_id.cast("string")), ",").alias("others"))
 
 
@@ -101,9 +115,9 @@ _CLASSES = f"""
     c AS (SELECT chapter_id, any_value(title) AS title, any_value(content) AS content, any_value(source_file) AS source_file FROM chapters GROUP BY 1),
     cw AS (SELECT chapter_id, coalesce(source_file, '') AS source, list_sort(list_distinct(list_filter(string_split({sql_title("coalesce(title, '')")}, ' '), lambda x: x <> ''))) AS words, {sql_tokens('content', T.STOPWORDS)} AS w FROM c),
     cs AS (SELECT chapter_id, source, words, list_sort({sql_runs('w', 5)}) AS members FROM cw),
-    k AS (SELECT min(chapter_id) AS id, words, members, min(source) AS low, max(source) AS high, count(*) AS n_members FROM cs GROUP BY words, members),
+    kc AS (SELECT *, CASE WHEN len(members) = 0 THEN 'empty' ELSE array_to_string(words, ' ') || chr(10) || array_to_string(members, chr(10)) END AS class FROM cs),
+    k AS (SELECT min(chapter_id) AS id, arg_min(words, chapter_id) AS words, arg_min(members, chapter_id) AS members, min(source) AS low, max(source) AS high, count(*) AS n_members, class FROM kc GROUP BY class),
     ce AS (SELECT id, unnest(members) AS x FROM k),
-    te AS (SELECT id, unnest(words) AS x FROM k),
     co AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM ce a JOIN ce b USING (x) WHERE a.id < b.id GROUP BY 1, 2)"""
 
 
@@ -119,44 +133,48 @@ _STRICT = f"{_SIMS}, strict AS (SELECT * FROM sims WHERE content_sim >= 4e-1 OR
 @query(f"WITH {_STRICT} SELECT * FROM strict")
 def strict_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chapter classes that tell the same; with class_members, every link between chapters."""
-    classes = Workspace(spark, "classes").put(M.chapter_classes(table(spark, d, "chapters")), "classes")
-    return M.strict_pairs(classes)
+    ws = Workspace(spark, "strict")
+    return M.strict_pairs(ws.put(M.classes(M.chapter_sets(table(spark, d, "chapters"))), "classes"), ws)
 
 
-@query(f"WITH {_CLASSES} SELECT cs.chapter_id, k.id AS class_id FROM cs JOIN k ON k.words = cs.words AND k.members = cs.members")
+@query(f"""WITH {_CLASSES} SELECT chapter_id, min(chapter_id) OVER (PARTITION BY class) AS class_id,
+    min(chapter_id) OVER (PARTITION BY words) AS title_id, min(chapter_id) OVER (PARTITION BY members) AS content_id FROM kc""")
 def class_members(spark: SparkSession, d: str) -> DataFrame:
-    return M.class_membership(table(spark, d, "chapters"))
+    """The classes that pairs are told by: of equal chapters (all without words of content are one), equal titles, equal contents."""
+    keys = M.chapter_sets(table(spark, d, "chapters")).select("chapter_id", "title", "content", F.slice("members", 1, 1).alias("members"))
+    return M.class_membership(Workspace(spark, "members").put(keys, "keys"))
+
+
+_LOOSE = f"""{_CLASSES},
+    lt AS (SELECT min(chapter_id) AS id, words AS s, min(source) AS low, max(source) AS high FROM cs WHERE len(words) > 0 GROUP BY words),
+    lc AS (SELECT min(chapter_id) AS id, members AS s, min(source) AS low, max(source) AS high FROM cs WHERE len(members) > 0 GROUP BY members),
+    ls AS (SELECT 'title' AS kind, * FROM lt UNION ALL SELECT 'content', * FROM lc),
+    lu AS (SELECT kind, id, len(s) AS n, low, high, unnest(s) AS x FROM ls),
+    loose AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*)) AS sim FROM lu a JOIN lu b ON a.kind = b.kind AND a.x = b.x AND a.id < b.id
+        WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low) GROUP BY a.kind, a.id, b.id, a.n, b.n)"""
 
 
-@query(f"WITH {_SIMS} SELECT * FROM sims WHERE title_sim >= 5e-1 OR content_sim >= 3e-1")
+@query(f"WITH {_LOOSE} SELECT kind, a, b, sim FROM loose WHERE sim >= CASE kind WHEN 'title' THEN 5e-1 ELSE 3e-1 END")
 def cross_source_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of chapter classes with similar titles or contents; with class_members, every link between chapters."""
-    classes = Workspace(spark, "classes").put(M.chapter_classes(table(spark, d, "chapters")), "classes")
-    return M.loose_pairs(classes)
+    """Pairs of similar titles and of similar contents; with class_members, every link between chapters."""
+    ws = Workspace(spark, "loose")
+    return M.loose_pairs(ws.put(M.chapter_sets(table(spark, d, "chapters")), "sets"), ws)
 
 
-def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _links(spark: SparkSession, d: str) -> DataFrame:
     """Strict links between chapters as edges: classes among each other, members to their class."""
     ws = Workspace(spark, "links")
-    chapters = table(spark, d, "chapters")
-    classes = ws.put(M.chapter_classes(chapters), "classes")
-    members = ws.put(M.class_membership(chapters), "members")
-    # copies are linked where the class has members of more than one source
-    shared = classes.where(F.col("low") != F.col("high")).select(F.col("id").alias("class_id"))
-    copies = members.where("class_id <> chapter_id").join(shared, "class_id").select(F.col("class_id").alias("a"), F.col("chapter_id").alias("b"))
-    # chapters without words all match across sources: of two sources or more, they are one component around the lowest
-    none = classes.where(F.size("members") == 0)
-    hub = none.agg(F.min("id").alias("a"), F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("a")  # one row or none
-    pairs = M.worded_pairs(classes).select("a", "b").union(none.select(F.col("id").alias("b")).join(F.broadcast(hub)).where("b > a").select("a", "b"))
-    # a pair links all members of both classes, so copies of one source are linked through it too
-    through = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("class_id"))
-    others = members.where("class_id <> chapter_id").join(through, "class_id").select(F.col("class_id").alias("a"), F.col("chapter_id").alias("b"))
-    edges = ws.put(pairs.select("a", "b").union(copies).union(others).distinct(), "edges")
-    return edges, members
+    sets = ws.put(M.chapter_sets(table(spark, d, "chapters")), "sets")
+    known = ws.put(M.classes(sets), "classes")
+    pairs = ws.put(M.strict_pairs(known, ws).select("a", "b"), "pairs")
+    # members are linked where their class has more than one source, or is linked to another one
+    linked = known.where("low <> high").select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    members = M.class_membership(sets).where("class_id <> chapter_id").join(linked.withColumnRenamed("id", "class_id"), "class_id", "left_semi")
+    return ws.put(pairs.union(members.select("class_id", "chapter_id")), "edges")
 
 
 _COMPONENTS = f"""{_STRICT},
-    ms AS (SELECT cs.chapter_id, k.id AS class_id, k.low, k.high FROM cs JOIN k ON k.words = cs.words AND k.members = cs.members),
+    ms AS (SELECT kc.chapter_id, k.id AS class_id, k.low, k.high FROM kc JOIN k USING (class)),
     e0 AS (SELECT a, b FROM strict UNION SELECT class_id, chapter_id FROM ms WHERE class_id <> chapter_id AND (low <> high OR class_id IN (SELECT a FROM strict UNION SELECT b FROM strict))),
     e1 AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
     r(a, b) AS (SELECT a, a FROM e1 UNION SELECT r.a, e1.b FROM r JOIN e1 ON e1.a = r.b),
@@ -165,7 +183,7 @@ _COMPONENTS = f"""{_STRICT},
 
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT chapter_id, component FROM comp")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(_links(spark, d)[0]).select(F.col("vertex").alias("chapter_id"), "component")
+    return graph.components(_links(spark, d)).select(F.col("vertex").alias("chapter_id"), "component")
 
 
 _WINNERS = f"""{_COMPONENTS}, sc AS ({TEXT_SQL['chapter_score']}),

@@ -42,13 +42,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The table in as many partitions as there are cores, where it comes in fewer files than that.
+    """The table in as many partitions as there are cores, where its scan has fewer than that.
 
-    A file of one row group is one task however large; work on its texts would run on one core.
-    Tables of many files, as large ones are, stay as they are read.
+    A scan makes a partition of each ``spark.sql.files.maxPartitionBytes``, so fewer partitions
+    than cores are less data than that a core: too little to matter where it moves, but work on
+    its texts would leave cores idle. Larger tables stay as they are read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -37,10 +37,10 @@ def type_windows(events: DataFrame, width: str = "1 hour", late: str = "1 hour")
 def watch_folder(spark: SparkSession, folder: str, kb: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Matches Markdown files with the knowledge base (kb_id, body) as they arrive, and appends the result."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").schema("value string").load(folder).withColumn("path", F.col("_metadata.file_path"))
-    entries = kb.select("kb_id", T.shingles(F.col("body")).alias("members"))
+    entries = kb.select("kb_id", M.hashed(T.shingles(F.col("body"))).alias("members"))
 
     def match(batch: DataFrame, number: int) -> None:
-        new = batch.select(F.col("path").alias("id"), T.shingles(T.front_matter(F.col("value")).getField("body")).alias("members"))
+        new = batch.select(F.col("path").alias("id"), M.hashed(T.shingles(T.front_matter(F.col("value")).getField("body"))).alias("members"))
         best = M.kb_similar(new, entries).groupBy("id").agg(F.max(F.struct("sim", (-F.col("kb_id")).alias("k"))).alias("b"))
         sim = F.coalesce("b.sim", F.lit(0.0))
         rows = new.select("id").join(best, "id", "left").select(F.col("id").alias("path"), (-F.col("b.k")).alias("best_kb"), sim.alias("best_sim"), T.similarity_class(sim).alias("status"))
