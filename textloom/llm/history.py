@@ -48,7 +48,7 @@ SKETCH = 128
 AGREE = 80
 WINDOW = 4
 SIMILARITY = 0.5
-MAX_RUNS = 3
+MAX_RUNS = 6
 #: Ranges of the orders and slots of the sets; more of them let a small batch read less of a large history.
 RANGES, SLOTS = 8, 8
 TAGS = r"<[/!]?[A-Za-z\-][^<>]*>"
@@ -60,7 +60,7 @@ _FEATURES = "age long, h1 long, h2 long, size int, keys array<long>, b0 long, b1
 def features(records: DataFrame) -> DataFrame:
     """Columns age, h1 and h2 (hashes of the whole set), size, keys, b0 and b1 (a sketch) and members (the set's hashes, ascending).
 
-    ``records`` has age and body; records without a five-word run have no row.
+    ``records`` has age and body; records without a five-word run have no row, repeated rows are repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,7 @@ def features(records: DataFrame) -> DataFrame:
             )
 
     body = F.regexp_replace("body", TAGS, " ")
-    once = records.where(filled("body") & F.col("age").isNotNull()).select("age", "body").dropDuplicates(["age"])
-    return once.select("age", body.alias("body")).mapInArrow(run, _FEATURES)
+    return records.where(filled("body") & F.col("age").isNotNull()).select("age", body.alias("body")).mapInArrow(run, _FEATURES)
 
 
 def _alike(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -157,10 +156,10 @@ class History:
         return df if parts is None or len(parts) == n else df.where(F.col(column).isin(parts))
 
     def _write(self, kind: str, df: DataFrame, n: int) -> DataFrame:
-        """Rows of a run, a file a range, in order within it."""
+        """Rows of a run, each once, a file a range, in order within it."""
         column, order, schema = ("range", ("no", "key", "age"), self.KEY_ROWS) if kind == "keys" else ("slot", ("age",), self.SET_ROWS)
         path = f"{self.root}/{kind}/run={n}"
-        df.drop("run").repartition(self.state[f"{column}s"], column).sortWithinPartitions(column, *order).write.mode("overwrite").partitionBy(column).parquet(path)
+        df.drop("run").repartition(self.state[f"{column}s"], column).dropDuplicates([column, *order]).sortWithinPartitions(column, *order).write.mode("overwrite").partitionBy(column).parquet(path)
         return self.spark.read.schema(schema.replace(" run int,", "")).parquet(path)
 
     def _slot(self) -> Column:
@@ -192,7 +191,7 @@ class History:
         ranges = F.explode(F.transform("keys", lambda k, no: self._range(no, k)))
         touched = new.select(self._slot().alias("slot"), ranges.alias("range")).agg(F.collect_set("slot").alias("slots"), F.collect_set("range").alias("ranges")).first()
         first = new.groupBy(*key).agg(F.min("age").alias("age"))
-        heads = self._table("sets", self.SET_ROWS, touched["slots"]).select(*key, F.col("age").alias("earlier"), F.col("match").alias("known"))
+        heads = self._table("sets", self.SET_ROWS, touched["slots"] or [0]).select(*key, F.col("age").alias("earlier"), F.col("match").alias("known"))
         classes = ws.put(first.join(heads, key, "left").select(*key, F.coalesce("earlier", "age").alias("rep"), F.col("earlier").isNull().alias("fresh"), "known"), f"classes-{n}")
         reps = new.join(classes.where("fresh").select(F.col("rep").alias("age")), "age", "left_semi")
         rows = reps.select("age", self._slot().alias("slot"), "b0", "b1", F.posexplode("keys").alias("no", "key"))
@@ -203,7 +202,7 @@ class History:
         if len(self.state["runs"]) > MAX_RUNS:
             self.compact()
         found = (
-            new.select("age", *key).join(classes, key).join(best.select(F.col("age").alias("rep"), "match"), "rep", "left")
+            new.select("age", *key).distinct().join(classes, key).join(best.select(F.col("age").alias("rep"), "match"), "rep", "left")
             .select("age", F.coalesce("match", "known", F.when(F.col("rep") != F.col("age"), F.col("rep"))).alias("match")).where("match is not null")
         )
         found = ws.put(found, f"found-{n}")
@@ -216,9 +215,10 @@ class History:
         n, ws = self.state["next"], self.ws
         columns = ["no", "key", "age", "slot", "b0", "b1"]
         block, prefix = F.shiftrightunsigned("key", 42).alias("block"), F.shiftrightunsigned("key", 21).alias("prefix")
-        stretches = own.select("no", block).distinct()
-        old = self._table("keys", self.KEY_ROWS, ranges).select(*columns, block).join(stretches, ["no", "block"], "left_semi")
-        near = old.select(*columns, "block", F.lit(False).alias("fresh")).unionByName(own.select(*columns, block, F.lit(True).alias("fresh")))
+        near = own.select(*columns, block, F.lit(True).alias("fresh"))
+        if self.state["runs"]:
+            old = self._table("keys", self.KEY_ROWS, ranges).select(*columns, block).join(own.select("no", block).distinct(), ["no", "block"], "left_semi")
+            near = near.unionByName(old.withColumn("fresh", F.lit(False)))
         order = Window.partitionBy("no", "block").orderBy("key", "age")
         before = F.array(*(F.lag(F.struct("age", "slot", "b0", "b1", "fresh"), k).over(order) for k in range(1, WINDOW + 1)))
         # more rows that agree in two minima than a window holds
@@ -254,8 +254,12 @@ class History:
     def _similar(self, pairs: DataFrame, new: DataFrame, slots: list[int], similarity: float) -> DataFrame:
         """The oldest of each record's partners that is similar by the sets themselves."""
         here = new.select("age", "size", "members")
-        there = self._table("sets", self.SET_ROWS, slots).select("age", "size", "members").unionByName(here)
-        both = pairs.join(here.select("age", F.col("size").alias("na"), F.col("members").alias("ma")), "age").join(there.select(F.col("age").alias("older"), F.col("size").alias("nb"), F.col("members").alias("mb")), "older")
+        there = here
+        if self.state["runs"]:
+            there = there.unionByName(self._table("sets", self.SET_ROWS, slots).select("age", "size", "members"))
+        # only the sets that pairs name are moved
+        there = there.select(F.col("age").alias("older"), F.col("size").alias("nb"), F.col("members").alias("mb")).join(pairs.select("older").distinct(), "older", "left_semi")
+        both = pairs.join(here.select("age", F.col("size").alias("na"), F.col("members").alias("ma")), "age").join(there, "older")
         common = F.size(F.array_intersect("ma", "mb"))
         return (
             both.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("age", "older", common.alias("common"), (F.col("na") + F.col("nb")).alias("n"))
