@@ -272,7 +272,7 @@ LATER = 1 << 61
 
 
 #: Batches in a row are taken in together until they have so many files; the result is the same, but a batch has a dozen jobs.
-TOGETHER = 10_000
+TOGETHER = 40_000
 
 
 def batches_in_order(incoming: DataFrame, together: int = TOGETHER) -> list[tuple[int, int]]:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import components, forms, history, leaks, markup, mixture, pieces, quality, subjects, survivors
-from textloom.llm.tables import table
+from textloom.llm.tables import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Language, statistics, outlier score and class of every text."""
-    return quality.classify(table(spark, d, "source_documents"))
+    return quality.classify(texts(spark, d, "source_documents"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,19 +23,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    items = markup.text_items(table(spark, d, "chapters"), table(spark, d, "kb_entries"))
+    items = markup.text_items(texts(spark, d, "chapters"), texts(spark, d, "kb_entries"))
     return markup.read_markup(items, clean=False).select("origin", "item_id", F.explode("markup").alias("markup")).distinct()
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     """Clean texts, a repeated row once."""
-    items = markup.text_items(table(spark, d, "chapters"), table(spark, d, "kb_entries"))
+    items = markup.text_items(texts(spark, d, "chapters"), texts(spark, d, "kb_entries"))
     out = markup.read_markup(items)
     return out.groupBy("origin", "item_id", F.xxhash64("text").alias("h")).agg(F.first("markup").alias("markup"), F.first("text").alias("text")).drop("h")
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_long(pieces.chapter_items(table(spark, d, "chapters"), table(spark, d, "segmented_sources")))
+    return pieces.split_long(pieces.chapter_items(texts(spark, d, "chapters"), texts(spark, d, "segmented_sources")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,17 +48,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.repeated_files(table(spark, d, "kb_entries"), table(spark, d, "incoming_files"))
+    return history.repeated_files(texts(spark, d, "kb_entries"), texts(spark, d, "incoming_files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    items = forms.text_items(table(spark, d, "chapters"), table(spark, d, "source_documents"))
+    items = forms.text_items(texts(spark, d, "chapters"), texts(spark, d, "source_documents"))
     return forms.normalise(items, text=False).select("origin", "item_id", F.explode("char_kinds").alias("char_kind")).distinct()
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every text's form by its hash and length, and how it was affected."""
-    items = forms.text_items(table(spark, d, "chapters"), table(spark, d, "source_documents"))
+    items = forms.text_items(texts(spark, d, "chapters"), texts(spark, d, "source_documents"))
     return forms.normalise(items).select("origin", "item_id", "char_kinds", F.length("form").alias("form_chars"), F.md5("form").alias("form_md5")).distinct()
 
 
@@ -84,7 +84,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.find_leaks(texts(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
@@ -95,16 +95,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The texts of the mixture and how often each is used."""
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixture.mix(texts(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of each listed source."""
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixture.mix(texts(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_samples"), table(spark, d, "subject_areas"))
+    return subjects.subject_areas(texts(spark, d, "documents"), table(spark, d, "subject_samples"), table(spark, d, "subject_areas"))
 
 
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
