@@ -88,7 +88,8 @@ def test_classes_of_texts(spark):
     rows += [(100, "\n".join(f"- der {rng.choice(WORDS)} {i}" for i in range(30))), (101, "\n".join(f"{w};3;4,5;x" for w in WORDS)), (102, "0a ff 3c 9e 11 20\n" * 3 + "1b 2c 3d 4e"), (103, None), (104, " \n "), (100, "\n".join("x"))]
     rows = [r for r in rows if r != (100, "x")]
     df = spark.createDataFrame(rows + rows[:5], "source_id long, text string").withColumn("language", F.lit("clash")).withColumn("score", F.lit(1))
-    got = {r["source_id"]: r["text_class"] for r in quality.classify(df).collect()}
+    got = {r["source_id"]: r["text_class"] for r in quality.classify(df).collect()}  # one sentence over and over on one line is junk too
+    assert quality.shares("Der Hut ist nass. " * 6)["junk"] > 0.9 and quality.shares("Hut\u2028nasser Turm")["list?"] == 1.0
     assert len(got) == 63 and {k: v for k, v in got.items() if v != "prose"} == {100: "list", 101: "table", 102: "junk"}
     assert quality.classify(df.limit(0)).count() == 0
 
@@ -108,6 +109,24 @@ def test_common_cases_are_found(spark):
     assert all(abs(scores[r["source_id"]] - r["score"]) < 1e-9 for r in once)
 
 
+def test_doubtful_lines_need_an_outlier(spark, monkeypatch):
+    """Short lines without a sign are a list's only in texts that lie far from the prose of their language."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(WORDS).title()
+    poem = lambda n: "\n".join(f"{word()} und {word()} in der {word()}.\nroter {word()}\nalter {word()}" + ("" if k >= n else f"\nleiser {word()}") for k in range(8))
+    wordy = lambda: "\n".join(f"Der {word()} ist nass. Die {word()} ist da.\n{word()}\n{word()}\n{word()}" for _ in range(8))
+    rows = [(i, wordy()) for i in range(60)] + [(100, poem(8)), (101, "\n".join(f"{word()}: {word()} {k}" for k in range(30)))]
+    df = spark.createDataFrame(rows, "source_id long, text string")
+
+    def found():
+        return {r["source_id"]: r["text_class"] for r in quality.classify(df).collect() if r["text_class"] != "prose"}
+
+    assert quality.shares(poem(8)).get("list?", 0) > 0.5 > quality.shares(wordy())["list?"]
+    assert found() == {101: "list"}
+    monkeypatch.setattr(quality, "OUTLIER_RATE", 1)
+    assert found() == {100: "list", 101: "list"}
+
+
 # p2
 
 

@@ -1,11 +1,19 @@
 """Per-document text quality statistics, outlier scores and text classes.
 
-Each text gets statistics and a language by its common words. The statistics' exact ranks
-within the language come from a range-partitioned sort of their distinct values, with
-partition offsets; each tail probability then adds to an outlier score, as in empirical-
-cumulative outlier detection, counting for each statistic the tail that speaks against
-prose. Each distinct text counts once in the ranks. The score only ranks texts: the class
-comes from the exact share of a text's characters in lines that are no prose.
+Each text gets statistics and a language by its common words. Texts that can only be prose
+by their lines are the reference of their language: the exact ranks of the reference's
+statistics come from a range-partitioned sort of their distinct values, with partition
+offsets, and tell every text's tail probabilities, on the side that speaks against prose.
+The tails of the statistics that a class is known by add to a score for that class, as in
+empirical-cumulative outlier detection; a text's outlier score is the highest of them. As
+only prose is ranked, and each distinct text once, no score depends on how common lists,
+tables, junk or copies of them are.
+
+Lines come in three sorts: sure ones, that are a list's, a table's or junk whatever stands
+around them; doubtful ones, such as short lines without a sign, that a poem has as well as
+a list; and prose. A text with more than half of it in sure lines is a case. One that needs
+its doubtful lines for that is a case if it is an outlier, with a score that at most one in
+OUTLIER_RATE of the reference has. Where two classes have nearly as much of a text, their scores decide.
 """
 
 from __future__ import annotations
@@ -31,34 +39,35 @@ COMMON = {
 LANGUAGES = tuple(COMMON)
 _LANGUAGES_OF = {w: tuple(i for i, l in enumerate(LANGUAGES) if w in COMMON[l].split()) for l in LANGUAGES for w in COMMON[l].split()}
 
-#: Statistics and the tail that speaks against prose.
+#: Statistics, the tail that speaks against prose, and the classes that it speaks for.
 STATISTICS = {
-    "mean_word_chars": "both",
-    "symbol_ratio": "high",
-    "digit_ratio": "high",
-    "ended_lines": "low",
-    "common_words": "low",
-    "single_characters": "high",
-    "repeated_lines": "high",
-    "words_per_line": "low",
-    "sentences_per_word": "low",
+    "mean_word_chars": ("both", ("junk",)),
+    "symbol_ratio": ("high", ("table", "junk")),
+    "digit_ratio": ("high", ("table",)),
+    "ended_lines": ("low", ("list", "table")),
+    "common_words": ("low", ("list", "table", "junk")),
+    "single_characters": ("high", ("junk",)),
+    "repeated_sentences": ("high", ("junk",)),
+    "words_per_line": ("low", ("list", "table")),
+    "sentences_per_word": ("low", ("list", "junk")),
 }
-#: A text is an outlier from this share of the score on that a text in the middle of everything has.
-OUTLIER = 0.5
+CLASSES = ("list", "table", "junk")
+#: At most one in so many of the reference's texts counts as an outlier.
+OUTLIER_RATE = 20
+#: Two classes with shares no further apart are told apart by their scores.
+NEARLY = 0.1
 #: With a lower share of common words a text has no language.
 LEAST_COMMON = 0.1
 #: Values that a 256th of a language's texts share are looked up in a table sent to every task; there are at most 256 by statistic.
 HOT = 256
 
 WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"\S+")
 DIGIT = re.compile(r"\d")
-ALNUM = re.compile(r"[^\W_]+")
+DIGITS = re.compile(r"\d+")
 SIGN = re.compile(r"[^\w\s]|_")
-END = re.compile(r"[.!?…;:][\"'»“”’)\]]*$")
-STOP = re.compile(r"(?<![\d.])[.!?…]+[\"'»“”’)\]]*$|\d[.!?]$")
-#: Characters that a match of STOP ends with.
+#: Characters that a sentence ends with.
 STOPS = frozenset(".!?…\"'»“”’)]")
+ENDS = frozenset(".!?…;:")
 MARK = re.compile(r"(?:[-–—*•·>+]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[A-Za-z]{1,2}\))\s+\S")
 LEADERS = re.compile(r"\.{4,}\s*\d+$|(?:\. ){4,}\s*\d+$")
 ENTRY = re.compile(r"[^\s:]+(?: [^\s:]+)?: \S")
@@ -72,130 +81,209 @@ CODE = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])(?:[\w]+(?:[-_:.]+[\w]+)+|[A-Za-z]+\
 BROKEN = re.compile(r"[�¤¶]|[ÃÂ][\u0080-¿¤¶]|Ã|â€|(?<=[^\W\d_])[?#](?=[^\W\d_])|(?<=\S)#|#(?=\S#)")
 
 
+#: Signs without which a line of words that ends like a sentence is prose.
+UNUSUAL = re.compile("[{}<>^\t|\ufffd¤¶ÃÂ#]")
+UNUSUAL_RUNS = ("â€", "....", ". . . .")
+ASKED = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+QUOTES = "\"'»“”’)]"
+NUMBERED = re.compile(r"\(?\d{1,4}[.)]\s")
+SEPARATORS = (" · ", " / ", ", ", " • ", "; ")
+
+
 def _single(token: str) -> bool:
-    return sum(c.isalpha() for c in token) <= 1 and len(token) <= 2
+    return len(token) <= 2 and sum(map(str.isalpha, token)) <= 1
 
 
-def line_class(line: str) -> str:
-    """prose, list, table or junk, of a line that isn't blank, by itself."""
-    bare = line.strip()
-    tokens = bare.split()
-    n = len(tokens)
-    words = WORD.findall(bare)
-    letters = sum(map(len, words))
-    visible = sum(map(len, tokens))
-    longest = max(map(len, tokens))
-    numbered = DIGIT.search(bare) is not None
-    broken = len(BROKEN.findall(bare)) if letters < visible else 0
-    if broken >= 2 and broken >= 0.04 * len(bare):
-        return "junk"
-    if ("{" in bare or "}" in bare) and CSS.search(bare) or ("<" in bare or ">" in bare or "^" in bare) and MENU.search(bare):
-        return "junk"
-    if n >= 4 and longest <= 9 and sum(bool(HEX.match(t)) for t in tokens) >= 0.9 * n:
-        return "junk"
-    if n >= 2 and numbered and sum(bool(CODE.match(t)) for t in tokens) >= 0.6 * n and "\t" not in line and ";" not in bare:
-        return "junk"
-    if longest >= 32 and any(len(t) >= 32 and "://" not in t and re.search(r"[A-Za-z]{2}", t) and not re.search(r"[;|,]|\.{3}|[a-zäöüß]{24}", t) for t in tokens):
-        return "junk"
-    if visible - letters >= 0.5 * visible:
-        signs = SIGN.findall(bare)
-        if len(signs) >= 0.5 * (letters + len(signs)) and len(set(signs)) >= 6:
+def ends_sentence(s: str) -> bool:
+    """Full stops or the like at the end, quotes and brackets aside, that don't follow a number or dots; or one sign behind a digit."""
+    bare = s.rstrip(QUOTES)
+    if bare[-1:] not in STOPS or bare[-1:] in QUOTES or not bare:
+        return False
+    front = bare.rstrip(".!?…")
+    if not front[-1:].isdigit():
+        return True
+    signs = bare[len(front) :]
+    return any(c != "." for c in signs[:-1]) or s[-1] in ".!?" and s[-2:-1].isdigit()
+
+
+class Line:
+    """A line's class, whether that is doubtful by itself, and what the statistics add up."""
+
+    __slots__ = ("bare", "kind", "doubtful", "tokens", "words", "letters", "visible", "common", "votes", "singles", "ended", "stops", "alone")
+
+    def __init__(self, line: str):
+        self.bare = bare = line.strip()
+        self.tokens = tokens = bare.split()
+        words = WORD.findall(bare)
+        self.words = len(words)
+        self.letters = sum(map(len, words))
+        self.visible = sum(map(len, tokens))
+        self.votes = [v for v in map(_LANGUAGES_OF.get, map(str.lower, words)) if v]
+        self.common = len(self.votes)
+        self.singles = sum(map(_single, [t for t in tokens if len(t) <= 2]))
+        self.ended = bare.rstrip(QUOTES)[-1:] in ENDS
+        self.stops = sum(map(ends_sentence, [t for t in tokens if t[-1] in STOPS]))
+        kind = self._kind(line, words)
+        self.doubtful = kind[-1] == "?"
+        self.kind = kind.rstrip("?")
+        self.alone = self.kind == "list" and len(tokens) <= 3 and not (MARK.match(bare) or LINK.match(bare) or LEADERS.search(bare) or ENTRY.match(bare))
+
+    def _kind(self, line: str, words: list[str]) -> str:
+        """prose, list, table or junk; with a question mark where a line of prose might look the same."""
+        bare, tokens, common, letters, visible = self.bare, self.tokens, self.common, self.letters, self.visible
+        n = len(tokens)
+        longest = max(map(len, tokens))
+        stop = bare[-1] in STOPS and ends_sentence(bare)
+        if stop and common >= 2 and 4 * common >= n and visible >= 4 * n and 2 * letters > visible and longest < 32 and bare.count(";") < 2 and not UNUSUAL.search(bare) and not any(r in bare for r in UNUSUAL_RUNS) and not ("?" in bare and ASKED.search(bare)) and not NUMBERED.match(bare):
+            return "prose"
+        numbered = DIGIT.search(bare) is not None
+        broken = len(BROKEN.findall(bare)) if letters < visible else 0
+        if broken >= 2 and broken >= 0.04 * len(bare):
             return "junk"
-    if visible < 4 * n:
-        rest = MARK.sub("", bare, count=1).split() if MARK.match(bare) else tokens
-        if len(rest) >= 5 and sum(map(_single, rest)) >= 0.6 * len(rest) and not re.match(r"\|.*\|$|\|?[-:| ]+$", bare):
+        if ("{" in bare or "}" in bare) and CSS.search(bare) or ("<" in bare or ">" in bare or "^" in bare) and MENU.search(bare):
             return "junk"
-    if LINK.match(bare):
-        return "list"
-    if RULE.match(bare):
-        return "table"
-    common = sum(w.lower() in _LANGUAGES_OF for w in words)
-    if "\t" in line.strip("\n"):
-        return "table"
-    if bare.count("|") >= 2 or (bare.count(";") >= 2 and n <= 2 * bare.count(";") + 3 and common <= n / 4):
-        return "table"
-    if LEADERS.search(bare):
-        return "list"
-    if STOP.search(bare) and common >= 2 and not re.match(r"\(?\d{1,4}[.)]\s", bare):
-        return "prose"
-    if MARK.match(bare):
-        return "list" if not STOP.search(bare) or bare[-2:-1].isdigit() else "prose"
-    if COLUMNS.search(bare) and common <= n / 5:
-        return "table"
-    for separator in (" · ", " / ", ", ", " • ", "; "):
-        if bare.count(separator) >= 4 and n <= 2 * bare.count(separator) + 4 and common <= n / 6:
+        if n >= 4 and longest <= 9 and sum(bool(HEX.match(t)) for t in tokens) >= 0.9 * n:
+            return "junk"
+        if n >= 2 and numbered and sum(bool(CODE.match(t)) for t in tokens) >= 0.6 * n and "\t" not in line and ";" not in bare:
+            return "junk"
+        if longest >= 32 and any(len(t) >= 32 and "://" not in t and re.search(r"[A-Za-z]{2}", t) and not re.search(r"[;|,]|\.{3}|[a-zäöüß]{24}", t) for t in tokens):
+            return "junk"
+        if visible - letters >= 0.5 * visible:
+            signs = SIGN.findall(bare)
+            if len(signs) >= 0.5 * (letters + len(signs)) and len(set(signs)) >= 6:
+                return "junk"
+        if visible < 4 * n:
+            rest = MARK.sub("", bare, count=1).split() if MARK.match(bare) else tokens
+            if len(rest) >= 5 and sum(map(_single, rest)) >= 0.6 * len(rest) and not re.match(r"\|.*\|$|\|?[-:| ]+$", bare):
+                return "junk"
+        if LINK.match(bare):
             return "list"
-    if ENTRY.match(bare) and n <= 10 and not STOP.search(bare):
-        return "list"
-    if n <= 3 and not common and not STOP.search(bare):
-        return "list"
-    if n >= 4 and not common and letters and not any(c.isupper() for c in bare) and not STOP.search(bare):
-        return "junk"
-    return "prose"
+        if RULE.match(bare):
+            return "table"
+        if "\t" in line.strip("\n"):
+            return "table"
+        if bare.count("|") >= 2 or (bare.count(";") >= 2 and n <= 2 * bare.count(";") + 3 and common <= n / 4):
+            return "table"
+        if LEADERS.search(bare):
+            return "list"
+        if stop and common >= 2 and not NUMBERED.match(bare):
+            return "prose"
+        if MARK.match(bare):
+            return "list" if not stop or bare[-2:-1].isdigit() else "prose"
+        if COLUMNS.search(bare) and common <= n / 5:
+            return "table"
+        if any(bare.count(s) >= 4 and n <= 2 * bare.count(s) + 4 and common <= n / 6 for s in SEPARATORS):
+            return "list?"
+        if ENTRY.match(bare) and n <= 10 and not stop:
+            return "list?"
+        if n <= 3 and not common and not stop:
+            return "list?"
+        if n >= 4 and not common and letters and not stop and bare.lower() == bare:
+            return "junk?"
+        return "prose"
 
 
-#: A line that comes so often, and in so much of a text, comes over and over.
+def line_class(line: str) -> str:
+    """prose, list, table or junk, of a line that isn't blank, by itself."""
+    return Line(line).kind
+
+
+#: A sentence that comes so often, and makes so much of a text's sentences, comes over and over.
 OVER = 4
+LINES = re.compile("\r\n|[\n\r  \x0b\x0c\x85]")
+SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+
+
+def lines_of(text: str) -> list[Line]:
+    """The lines that aren't blank; each distinct one is read once."""
+    known: dict[str, Line] = {}
+    out = []
+    for line in LINES.split(text):
+        found = known.get(line)
+        if found is None:
+            if not line or line.isspace():
+                continue
+            found = known[line] = Line(line)
+        out.append(found)
+    return out
+
+
+def repeated(text: str, lines: list[Line]) -> int:
+    """Characters in sentences, or in lines of prose, that come over and over, whichever are more."""
+    sentences = SENTENCE.split(" ".join(text.split()))
+    prose = [line.bare for line in lines if line.kind == "prose"]
+    return max(_over(sentences, len(sentences)), _over(prose, len(lines)))
 
 
-def shares(text: str) -> dict[str, float]:
-    """Share of a text's characters by class; the shares add up to one. A blank text has none."""
-    lines = [line for line in re.split(r"\r\n|[\n\r  \x0b\x0c\x85]", text) if line.strip()]
+def _over(parts: list[str], n: int) -> int:
+    if len(parts) < OVER or len(set(parts)) > len(parts) - OVER + 1:
+        return 0
+    return sum(len(s) * k for s, k in Counter(parts).items() if k >= OVER and 4 * k >= n and len(s) > 3)
+
+
+def shares(text: str, lines: list[Line] | None = None, over: float | None = None) -> dict[str, float]:
+    """Share of a text's characters by class, doubtful lines under ``list?`` and so on; the shares add up to one. A blank text has none."""
+    lines = lines_of(text) if lines is None else lines
     if not lines:
         return {}
-    times = Counter(line.strip() for line in lines)
     chars: Counter = Counter()
-    kinds = [line_class(line) for line in lines]
+    last = len(lines) - 1
     for i, line in enumerate(lines):
-        bare = line.strip()
-        kind = kinds[i]
-        if times[bare] >= OVER and times[bare] * 4 >= len(lines) and len(bare) > 3 and kind == "prose":
-            kind = "junk"
-        elif kind == "list" and len(bare.split()) <= 3 and not MARK.match(bare) and not LINK.match(bare) and not LEADERS.search(bare) and not ENTRY.match(bare):
-            # a few words alone: the end of a wrapped sentence, unless their neighbours are entries too
-            near = [kinds[k] for k in (i - 1, i + 1) if 0 <= k < len(lines)]
-            kind = "list" if "list" in near or not near else near[0] if len(set(near)) == 1 else "prose"
-        elif kind == "table" and RULE.match(bare):
-            near = [kinds[k] for k in (i - 1, i + 1) if 0 <= k < len(lines)]
-            kind = "table" if "table" in near else near[0] if near else "junk"
-        chars[kind] += len(bare)
+        kind, doubtful = line.kind, line.doubtful
+        if line.alone or kind == "table" and RULE.match(line.bare):
+            near = [lines[k].kind for k in (i - 1, i + 1) if 0 <= k <= last]
+            if line.alone:  # a few words: the end of a wrapped sentence, unless their neighbours are entries too
+                kind = "list" if "list" in near or not near else near[0] if len(set(near)) == 1 else "prose"
+            else:
+                kind = "table" if "table" in near else near[0] if near else "junk"
+        chars[f"{kind}?" if doubtful and kind != "prose" else kind] += len(line.bare)
     total = sum(chars.values())
-    return {k: c / total for k, c in chars.items()}
+    over = min(repeated(text, lines) if over is None else over, chars["prose"])
+    chars["prose"] -= over
+    chars["junk"] += over
+    return {k: c / total for k, c in chars.items() if c}
 
 
-def statistics(text: str) -> tuple[str, dict[str, float]]:
+def statistics(text: str, lines: list[Line] | None = None, over: float | None = None) -> tuple[str, dict[str, float]]:
     """Language, und where hardly a common word occurs, and STATISTICS to four places."""
-    lines = [line.strip() for line in text.split("\n") if line.strip()]
-    words = WORD.findall(text.lower())
-    tokens = TOKEN.findall(text)
+    lines = lines_of(text) if lines is None else lines
+    words = sum(line.words for line in lines)
+    tokens = sum(len(line.tokens) for line in lines)
+    visible = sum(line.visible for line in lines) or 1
+    common = sum(line.common for line in lines)
     votes = [0] * len(LANGUAGES)
-    common = 0
-    for w in words:
-        of = _LANGUAGES_OF.get(w)
-        if of:
-            common += 1
+    for line in lines:
+        for of in line.votes:
             for i in of:
                 votes[i] += 1
-    language = LANGUAGES[max(range(len(votes)), key=lambda i: (votes[i], -i))] if common > LEAST_COMMON * len(words) else "und"
-    visible = sum(map(len, tokens)) or 1
-    n = len(words) or 1
+    language = LANGUAGES[max(range(len(votes)), key=lambda i: (votes[i], -i))] if common > LEAST_COMMON * words else "und"
+    digits = sum(map(len, DIGITS.findall(text)))
+    letters = sum(line.letters for line in lines)
+    n, m = words or 1, len(lines) or 1
     values = {
-        "mean_word_chars": sum(map(len, words)) / n,
-        "symbol_ratio": (visible - sum(map(len, ALNUM.findall(text)))) / visible if tokens else 0.0,
-        "digit_ratio": len(DIGIT.findall(text)) / visible,
-        "ended_lines": sum(bool(END.search(line)) for line in lines) / (len(lines) or 1),
+        "mean_word_chars": letters / n,
+        "symbol_ratio": max(0, visible - letters - digits) / visible if tokens else 0.0,
+        "digit_ratio": digits / visible,
+        "ended_lines": sum(line.ended for line in lines) / m,
         "common_words": common / n,
-        "single_characters": sum(_single(t) for t in tokens if len(t) <= 2) / (len(tokens) or 1),
-        "repeated_lines": 1 - len(set(lines)) / (len(lines) or 1),
-        "words_per_line": len(words) / (len(lines) or 1),
-        "sentences_per_word": sum(t[-1] in STOPS and bool(STOP.search(t)) for t in tokens) / n,
+        "single_characters": sum(line.singles for line in lines) / (tokens or 1),
+        "repeated_sentences": (repeated(text, lines) if over is None else over) / visible,
+        "words_per_line": words / m,
+        "sentences_per_word": sum(line.stops for line in lines) / n,
     }
     return language, {k: round(v, 4) for k, v in values.items()}
 
 
+SHARES = ("prose", *CLASSES, *(f"{c}?" for c in CLASSES))
+_SHARE_COLUMNS = ("prose", *CLASSES, *(f"maybe_{c}" for c in CLASSES))
+
+
 def measure(items: DataFrame) -> DataFrame:
-    """Columns source_id, text_hash, language, STATISTICS and the shares prose, list, table and junk; rows whose text is null or blank are left out."""
-    names = [*STATISTICS, "prose", "list", "table", "junk"]
+    """Columns source_id, text_hash, language, STATISTICS and the shares prose, list, table, junk, maybe_list, maybe_table and maybe_junk.
+
+    Rows whose text is null or blank are left out.
+    """
+    names = [*STATISTICS, *_SHARE_COLUMNS]
     schema = "source_id long, text_hash long, language string, " + ", ".join(f"{n} double" for n in names)
     arrow = pa.schema([("source_id", pa.int64()), ("text_hash", pa.int64()), ("language", pa.string()), *((n, pa.float64()) for n in names)])
 
@@ -204,9 +292,11 @@ def measure(items: DataFrame) -> DataFrame:
             codes = batch.column("text").dictionary_encode()
             got = []
             for text in codes.dictionary.to_pylist():
-                language, values = statistics(text)
-                part = shares(text)
-                got.append((language, [*values.values(), *(part.get(k, 0.0) for k in ("prose", "list", "table", "junk"))]))
+                lines = lines_of(text)
+                over = repeated(text, lines)
+                language, values = statistics(text, lines, over)
+                part = shares(text, lines, over)
+                got.append((language, [*values.values(), *(part.get(k, 0.0) for k in SHARES)]))
             take = codes.indices
             columns = [batch.column("source_id"), batch.column("text_hash"), pa.array([g[0] for g in got], pa.string()).take(take)]
             columns += [pa.array([g[1][k] for g in got], pa.float64()).take(take) for k in range(len(names))]
@@ -215,59 +305,83 @@ def measure(items: DataFrame) -> DataFrame:
     return items.where(filled("text") & F.col("source_id").isNotNull()).select("source_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def exact_ranks(values: DataFrame, ws: Workspace, partitions: int | None = None) -> DataFrame:
-    """For each (part, statistic, value): below and at_most, the numbers of rows with a lower value and with none higher, and n of the part.
+def exact_ranks(values: DataFrame, ws: Workspace, partitions: int | None = None, name: str = "ranged") -> DataFrame:
+    """For each (part, statistic, value): below and at_most, the weights of rows with a lower value and with none higher, n of the part.
 
-    The distinct values with their counts are sorted by ranges; each range adds up its own
-    counts and gets the sum of the ranges before it as an offset, so that no task sees all
-    values of a statistic, and equal values are one row however many there are.
+    c and all are the numbers of rows with the value and of the part. Rows without a column
+    weight weigh 1 each. The distinct values with their counts are sorted by ranges; each range
+    adds up its own and gets the sum of the ranges before it as an offset, so that no task
+    sees all values of a statistic, and equal values are one row however many there are.
     """
     spark = values.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["part", "statistic", "value"]
-    counts = values.groupBy(*order).agg(F.count("*").alias("c"))
-    ranged = ws.put(counts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    weight = F.sum("weight") if "weight" in values.columns else F.count("*")
+    counts = values.groupBy(*order).agg(F.count("*").alias("c"), weight.alias("w"))
+    ranged = ws.put(counts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), name)
     here = Window.partitionBy("range", "part", "statistic").orderBy("value")
-    running = ranged.withColumn("run", F.sum("c").over(here))
-    sums = ranged.groupBy("part", "statistic", "range").agg(F.sum("c").alias("s"))
-    before = Window.partitionBy("part", "statistic").orderBy("range")
-    offsets = sums.select("part", "statistic", "range", (F.sum("s").over(before) - F.col("s")).alias("offset"), F.sum("s").over(Window.partitionBy("part", "statistic")).alias("n"))
+    running = ranged.withColumn("run", F.sum("w").over(here))
+    sums = ranged.groupBy("part", "statistic", "range").agg(F.sum("w").alias("s"), F.sum("c").alias("k"))
+    before, whole = Window.partitionBy("part", "statistic").orderBy("range"), Window.partitionBy("part", "statistic")
+    offsets = sums.select("part", "statistic", "range", (F.sum("s").over(before) - F.col("s")).alias("offset"), F.sum("s").over(whole).alias("n"), F.sum("k").over(whole).alias("all"))
     return running.join(offsets, ["part", "statistic", "range"]).select(
-        *order, "c", (F.col("offset") + F.col("run") - F.col("c")).alias("below"), (F.col("offset") + F.col("run")).alias("at_most"), "n"
+        *order, "c", (F.col("offset") + F.col("run") - F.col("w")).alias("below"), (F.col("offset") + F.col("run")).alias("at_most"), "n", "all"
     )
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the table's columns; keys that many rows share are looked up in a small table sent to every task, the others in a join."""
+    hot = F.broadcast(table.where("hot").drop("hot").withColumn("there", F.lit(True)))
+    known = rows.join(hot, keys, "left")
+    found = [c for c in table.columns if c not in (*keys, "hot")]
+    return known.where("there").drop("there").unionByName(known.where("there is null").drop("there", *found).join(table.where("not hot").drop("hot"), keys))
+
+
 def score(measured: DataFrame, ws: Workspace) -> DataFrame:
-    """Adds score: the mean over the statistics of minus the logarithm of the tail probability.
+    """Adds list_score, table_score, junk_score, score (the highest of them) and outlier. Rows of one text_hash are one text.
 
-    A text in the middle of everything scores ln 2, about 0.69. Rows of one text_hash are one text to the ranks.
+    A class's score is the mean over its statistics of minus the logarithm of the share of the
+    language's reference that lies as far out. outlier: at most one in OUTLIER_RATE of the
+    reference has so high a score, or the text has no language.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS)))
+    statistics_ = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS)))
+    weight = (F.col("prose") > 0.5).cast("int").alias("weight")
     texts = measured.dropDuplicates(["text_hash"])
-    long = texts.select("text_hash", F.col("language").alias("part"), pairs.alias("x")).select("text_hash", "part", "x.statistic", "x.value")
+    long = texts.select("text_hash", F.col("language").alias("part"), weight, statistics_.alias("x")).select("text_hash", "part", "weight", "x.statistic", "x.value")
     ranks = ws.put(exact_ranks(long, ws), "ranks")
-    low = -F.log(F.col("at_most") / F.col("n"))
-    high = -F.log((F.col("n") - F.col("below")) / F.col("n"))
-    side = F.create_map(*(F.lit(x) for item in STATISTICS.items() for x in item))[F.col("statistic")]
-    tail = ranks.select("part", "statistic", "value", (F.col("c") * HOT >= F.col("n")).alias("hot"), F.when(side == "low", low).when(side == "high", high).otherwise(F.greatest(low, high)).alias("tail"))
-    hot = F.broadcast(tail.where("hot").drop("hot"))
+    tails = {"low": -F.log((F.col("at_most") + 1) / (F.col("n") + 1)), "high": -F.log((F.col("n") - F.col("below") + 1) / (F.col("n") + 1))}
+    side = F.create_map(*(F.lit(x) for s, (tail, _) in STATISTICS.items() for x in (s, tail)))[F.col("statistic")]
+    tail = F.when(side == "low", tails["low"]).when(side == "high", tails["high"]).otherwise(F.greatest(*tails.values()))
     keys = ["part", "statistic", "value"]
-    known = long.join(hot, keys, "left")
-    scored = known.where("tail is not null").unionByName(known.where("tail is null").drop("tail").join(tail.where("not hot").drop("hot"), keys))
-    return measured.join(scored.groupBy("text_hash").agg(F.avg("tail").alias("score")), "text_hash")
+    found = _looked_up(long, ranks.select(*keys, (F.col("c") * HOT >= F.col("all")).alias("hot"), tail.alias("tail")), keys)
+    of = {c: [s for s, (_, classes) in STATISTICS.items() if c in classes] for c in CLASSES}
+    scored = found.groupBy("text_hash", "part", "weight").agg(*(F.avg(F.when(F.col("statistic").isin(of[c]), F.col("tail"))).alias(f"{c}_score") for c in CLASSES))
+    scored = ws.put(scored.withColumn("value", F.round(F.greatest(*(f"{c}_score" for c in CLASSES)), 6)).withColumn("statistic", F.lit("score")), "scores")
+    places = exact_ranks(scored.select("part", "statistic", "value", "weight"), ws, name="places")
+    # of no reference, nought texts have so high a score
+    far = places.select(*keys, (F.col("c") * HOT >= F.col("all")).alias("hot"), ((F.col("n") - F.col("below")) * OUTLIER_RATE <= F.col("n")).alias("far"))
+    out = _looked_up(scored, far, keys).select("text_hash", *(f"{c}_score" for c in CLASSES), F.col("value").alias("score"), (F.col("far") | (F.col("part") == "und")).alias("outlier"))
+    return measured.join(out, "text_hash")
 
 
 def classify(items: DataFrame) -> DataFrame:
-    """Columns source_id, language, STATISTICS, shares by class, score, outlier and text_class.
+    """Columns source_id, language, STATISTICS, shares by class, scores, outlier and text_class.
 
     ``items`` has source_id and text; a row delivered twice counts once, null and blank texts
-    have no row. text_class is prose unless more than half of the text's characters stand in
-    lines of the other classes; then it is the class with most of them (of equals the first
-    in the order list, table, junk). outlier tells texts of a high score or without a language.
+    have no row. text_class is prose, or else the class with most of the text's characters; of
+    classes with nearly as many the one of the highest score (of equals the first of CLASSES).
     """
     ws = Workspace(items.sparkSession, "quality")
     measured = ws.put(measure(items).distinct(), "measured")
     scored = score(measured, ws).drop("text_hash")
-    outlier = (F.col("score") >= OUTLIER) | (F.col("language") == "und")
-    most = F.when((F.col("list") >= F.col("table")) & (F.col("list") >= F.col("junk")), "list").when(F.col("table") >= F.col("junk"), "table").otherwise("junk")
-    return scored.withColumn("outlier", outlier).withColumn("text_class", F.when(F.col("prose") < 0.5, most).otherwise("prose"))
+    sure = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
+    maybe = sum((F.col(f"maybe_{c}") for c in CLASSES[1:]), F.col(f"maybe_{CLASSES[0]}"))
+    whole = {c: F.col(c) + F.col(f"maybe_{c}") for c in CLASSES}
+    most = F.greatest(*whole.values())
+    close = {c: F.when(share >= most - NEARLY, F.col(f"{c}_score")) for c, share in whole.items()}
+    best = F.greatest(*close.values())
+    kind = F.lit(CLASSES[-1])
+    for c in reversed(CLASSES[:-1]):
+        kind = F.when(close[c] == best, c).otherwise(kind)
+    case = (sure > 0.5) | (F.col("outlier") & (sure + maybe > 0.5))
+    return scored.withColumn("text_class", F.when(case, kind).otherwise("prose"))
