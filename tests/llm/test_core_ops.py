@@ -115,7 +115,7 @@ def test_doubtful_lines_need_an_outlier(spark, monkeypatch):
     word = lambda: rng.choice(WORDS).title()
     poem = lambda n: "\n".join(f"{word()} und {word()} in der {word()}.\nroter {word()}\nalter {word()}" + ("" if k >= n else f"\nleiser {word()}") for k in range(8))
     wordy = lambda: "\n".join(f"Der {word()} ist nass. Die {word()} ist da.\n{word()}\n{word()}\n{word()}" for _ in range(8))
-    long = lambda: "\n".join("Der " + " ".join(word() for _ in range(12)) + f" und {word()} in der {word()}.\n{word()}\n{word()}" for _ in range(8))
+    long = lambda: "\n".join(f"{word()} und {word()} in der " + " ".join(word() for _ in range(7)) + f".\n{word()}\n{word()}\n{word()}" for _ in range(8))
     rows = [(i, (wordy(), poem(0), long())[i % 3]) for i in range(60)] + [(100, poem(8)), (101, "\n".join(f"{word()}: {word()} {k}" for k in range(30)))]
     df = spark.createDataFrame(rows, "source_id long, text string")
 
