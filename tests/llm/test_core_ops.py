@@ -339,15 +339,30 @@ def test_one_form():
     for _ in range(2000):
         t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
         assert forms.one_form(forms.one_form(t)) == forms.one_form(t), t
+        t = "".join(rng.choice(pool + "   \n") for _ in range(rng.randint(0, 40)))
+        assert forms._form(t, {}) == forms.one_form(t), t
     same = ["Café Straße 12", "ＣＡＦÉ STRASSE 12", "Cafe\u0301\u00a0Stra\u00adße １２", "Саfé Straße 12"]
     assert len({forms.one_form(t) for t in same}) == 1
 
 
+def test_kinds_are_what_the_form_changes(monkeypatch):
+    """A step that is left out changes nothing, and its kind is gone."""
+    text = "\uff21 e\u0301 a\u00a0b ha\u00adus h\u0430us"
+    assert forms.kinds_of(text) == list(forms.KINDS)
+    for step, kind in (("FULLWIDTH", "fullwidth"), ("MARKED", "combining"), ("SPACES", "space"), ("INVISIBLE", "invisible")):
+        with monkeypatch.context() as m:
+            m.setattr(forms, step, re.compile("(?!)"))
+            assert forms.kinds_of(text) == [k for k in forms.KINDS if k != kind]
+
+
 def test_forms_by_table(spark):
     plain = ["Der Hut – „ja“", "STRASSE ß", "", "É\tx\ny"]
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate([*plain, None, "Ａ", "Ａ" * 50000])], "origin string, item_id long, text string").withColumn("form", F.lit(3))
     got = {r["item_id"]: (r["char_kinds"], r["form"]) for r in forms.normalise(df).collect()}
     assert all(got[i] == ([], forms.one_form(t)) for i, t in enumerate(plain)) and got[4] == ([], None) and got[5] == (["fullwidth"], "a") and len(got[6][1]) == 50000
+    more = df.unionByName(spark.createDataFrame([("b", 1, "e\u0301 a\u00a0b \uff21"), ("b", 2, "\uff21 " * 9), ("b", 3, "– nichts")], "origin string, item_id long, text string").withColumn("form", F.lit(3)))
+    rows = sorted(tuple(r) for r in forms.affected(more.union(more)).collect())
+    assert rows == [("a", 5, "fullwidth"), ("a", 6, "fullwidth"), ("b", 1, "combining"), ("b", 1, "fullwidth"), ("b", 1, "space"), ("b", 2, "fullwidth")] and forms.affected(df.limit(0)).count() == 0
     assert forms.normalise(df.limit(0)).count() == 0 and unicodedata.is_normalized("NFC", got[3][1])
 
 

@@ -1,5 +1,11 @@
 """Visually identical text with different characters, brought to one form.
 
+A text is affected where bringing it to that form changes it, and the step that does tells
+how: the kinds come from the differences between the steps, not from a search beside them.
+All of it works on values, the runs of characters between plain white space that hold any
+character which isn't plain: each distinct value of the whole table goes through the steps
+once, in Arrow batches, and the texts get their values' results by a join.
+
 The form is compatibility-normalised and composed, fully case-folded, with every space
 character mapped to the plain one, without default-ignorable characters and, in words
 that mix scripts, with look-alike letters replaced by the Latin ones.
@@ -16,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import Workspace
+
 KINDS = ("combining", "fullwidth", "invisible", "lookalike", "space")
 
+_PLAIN = r"\x21-\x7E¡-§©«¬®°±¶·»¿À-ÿ–—‘’‚“”„‹›€"
 #: A text of these characters only has its form after lower-casing and ß to ss.
-PLAIN = r"^[\t\n\r\x20-\x7E¡-§©«¬®°±¶·»¿À-ÿ–—‘’‚“”„‹›€]*$"
+PLAIN = rf"^[ \t\n\r{_PLAIN}]*$"
+#: A value: from white space to white space, with a character that isn't plain. Nothing is read twice, however long it is.
+VALUE = rf"(?<![^ \t\n\r])[{_PLAIN}]*+[^ \t\n\r{_PLAIN}][^ \t\n\r]*+"
+_VALUE = re.compile(VALUE)
 
 FULLWIDTH = re.compile("[\uff10-\uff19\uff21-\uff3a\uff41-\uff5a]")
 SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
@@ -61,19 +73,26 @@ def mixed(word: str) -> bool:
 
 
 def kinds_of(text: str) -> list[str]:
-    """Which of KINDS a text holds, sorted."""
+    """Which of KINDS the steps to the one form change, sorted."""
     found = []
-    if any(len(unicodedata.normalize("NFC", base + mark)) == 1 for base, marks in MARKED.findall(text) for mark in marks):
+    shown = JOINED.sub("", text) if "\u200d" in text else text
+    seen = INVISIBLE.sub("", shown)
+    if seen != shown:
+        found.append("invisible")
+    seen = IGNORABLE.sub("", seen)
+    composed = MARKED.sub(lambda m: unicodedata.normalize("NFC", m[0]), seen)
+    if len(composed) < len(seen):
         found.append("combining")
-    if FULLWIDTH.search(text):
+    spaced = SPACES.sub(" ", composed)
+    if spaced != composed:
+        found.append("space")
+    narrow = FULLWIDTH.sub(lambda m: unicodedata.normalize("NFKC", m[0]), spaced)
+    if narrow != spaced:
         found.append("fullwidth")
-    if INVISIBLE.search(JOINED.sub("", text) if "\u200d" in text else text):
-        found.append("invisible")
-    if FOREIGN.search(text) and any(map(mixed, WORD.findall(unicodedata.normalize("NFC", INVISIBLE.sub("", text))))):
+    narrow = unicodedata.normalize("NFC", narrow)
+    if FOREIGN.search(narrow) and any(map(mixed, WORD.findall(narrow))):
         found.append("lookalike")
-    if SPACES.search(text):
-        found.append("space")
-    return found
+    return sorted(found)
 
 
 def _latin(m: re.Match) -> str:
@@ -102,26 +121,65 @@ def text_items(chapters: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def normalise(items: DataFrame, text: bool = True) -> DataFrame:
-    """Columns origin, item_id, char_kinds (sorted array) and, with ``text``, form.
+def _form(text: str, known: dict[str, str]) -> str:
+    def value(m: re.Match) -> str:
+        got = known.get(m[0])
+        if got is None:
+            got = known[m[0]] = one_form(m[0])
+        return got
+
+    return _VALUE.sub(value, text).casefold()
+
+
+def affected(items: DataFrame) -> DataFrame:
+    """Columns origin, item_id and char_kind, each once, of ``items`` (origin, item_id, text).
+
+    Null, empty and blank texts, and texts of plain characters only, have no row. A value that
+    many texts share is one row where it goes through the steps, and reduced with the others'
+    before that; only values that a step changes are joined back.
+    """
+    ws = Workspace(items.sparkSession, "forms")
+    some = items.where(~F.col("text").rlike(PLAIN)).select("origin", "item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(VALUE), 0))).alias("value"))
+    held = ws.put(some, "values")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("value")
+            kinds = [kinds_of(v) for v in values.to_pylist()]
+            yield pa.RecordBatch.from_arrays([values.cast(pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=["value", "char_kinds"])
+
+    changed = ws.put(held.select("value").distinct().mapInArrow(run, "value string, char_kinds array<string>").where(F.size("char_kinds") > 0), "changed")
+    return held.join(changed, "value").select("origin", "item_id", F.explode("char_kinds").alias("char_kind")).distinct()
+
+
+def normalise(items: DataFrame) -> DataFrame:
+    """Columns origin, item_id, char_kinds (sorted array) and form.
 
     ``items`` has origin, item_id and text. A null text gives a null form and no kinds.
     Texts of plain characters get their form in the JVM; the others go to Python in Arrow
-    batches, where each distinct text is read once.
+    batches, where each distinct value goes through the steps once a task.
     """
     base = items.select("origin", "item_id", "text")
-    schema = "origin string, item_id long, char_kinds array<string>" + (", form string" if text else "")
-    fields = [("origin", pa.string()), ("item_id", pa.int64()), ("char_kinds", pa.list_(pa.string()))] + ([("form", pa.string())] if text else [])
+    fields = [("origin", pa.string()), ("item_id", pa.int64()), ("char_kinds", pa.list_(pa.string())), ("form", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms: dict[str, str] = {}
+        kinds: dict[str, list[str]] = {}
         for batch in batches:
             codes = batch.column("text").dictionary_encode()
-            values = codes.dictionary.to_pylist()
-            columns = [batch.column("origin").cast(pa.string()), batch.column("item_id"), pa.array([kinds_of(t) for t in values], pa.list_(pa.string())).take(codes.indices)]
-            if text:
-                columns.append(pa.array([one_form(t) for t in values], pa.string()).take(codes.indices))
+            texts = codes.dictionary.to_pylist()
+            own = []
+            for t in texts:
+                values = set(_VALUE.findall(t))
+                for v in values - kinds.keys():
+                    kinds[v] = kinds_of(v)
+                own.append(sorted({k for v in values for k in kinds[v]}))
+            columns = [batch.column("origin").cast(pa.string()), batch.column("item_id"), pa.array(own, pa.list_(pa.string())).take(codes.indices)]
+            columns.append(pa.array([_form(t, forms) for t in texts], pa.string()).take(codes.indices))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            if len(forms) > 1 << 17:  # a table of values in a task's memory stays small; what goes is made again
+                forms, kinds = {}, {}
 
     plain = F.coalesce(F.col("text").rlike(PLAIN), F.lit(True))
-    easy = base.where(plain).select("origin", "item_id", F.array().cast("array<string>").alias("char_kinds"), *([F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")).alias("form")] if text else []))
-    return base.where(~plain).mapInArrow(run, schema).unionByName(easy)
+    easy = base.where(plain).select("origin", "item_id", F.array().cast("array<string>").alias("char_kinds"), F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")).alias("form"))
+    return base.where(~plain).mapInArrow(run, "origin string, item_id long, char_kinds array<string>, form string").unionByName(easy)

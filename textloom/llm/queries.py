@@ -53,7 +53,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     items = forms.text_items(texts(spark, d, "chapters"), texts(spark, d, "source_documents"))
-    return forms.normalise(items, text=False).select("origin", "item_id", F.explode("char_kinds").alias("char_kind")).distinct()
+    return forms.affected(items)
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
