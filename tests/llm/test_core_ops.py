@@ -159,6 +159,23 @@ def test_clean_text():
     assert markup.content_lines([]) == [] and markup.content_lines([90.0, 80.0, 85.0, 1.0, 1.0, 1.0])[:2] == [True, True]
 
 
+def test_structure_is_kept():
+    assert markup.read("<h1>\n Der alte\n Titel \n</h1><p>Text hier.</p>")[1] == "# Der alte Titel\nText hier."
+    assert markup.read("{| class=\"x\"\n! Kopf !! Wert\n|-\n| a || b\n|}")[1] == "Kopf | Wert\na | b"
+    assert markup.read("[[Hut]]:\n* eins\n** zwei\n*** drei")[1] == "Hut:\n- eins\n  - zwei\n    - drei"
+    page = "<nav><a href=x>Start</a> <a href=y>Kontakt</a></nav>\n<p>Ein langer Satz über den <b>Hut</b> ohne Ende und noch mehr Worte dazu</p>"
+    assert markup.read(page)[1] == "Ein langer Satz über den Hut ohne Ende und noch mehr Worte dazu"
+    assert "Hut" in markup.read("<nav> Hut")[1]
+
+
+def test_regions_by_clusters():
+    menu = "".join(f"<a href=x{i}>Seite {i}</a> <a href=y>mehr zu {i}</a>\n" for i in range(6))
+    body = "\n".join("Ein langer Absatz über den Garten und den Regen und den Turm am Bach. " * 4 for _ in range(6))
+    got = markup.read(f"{menu}{body}\n{menu}")[1]
+    assert "Seite" not in got.replace("Seite 5", "").replace("Seite 0", "") and got.count("Garten") == 24
+    assert markup.clusters([5.0, 5.0, 6.0]) is None and 1 < markup.clusters([1.0, 1.0, 9.0, 9.0]) < 9
+
+
 def test_markup_rows(spark):
     long = "wort " * 60000
     df = spark.createDataFrame([("a", 1, "x <b>y</b>"), ("a", 2, None), ("a", 3, ""), ("a", 4, long + "**fett**"), ("a", 1, "x <b>y</b>")], "origin string, item_id long, text string").withColumn("markup", F.lit(1))

@@ -5,10 +5,13 @@ is quoted; then the events of the standard library's HTML parser; then, in the t
 these leave, Markdown, wiki and LaTeX constructs. The clean text keeps headings (``# ``),
 list items (``- ``), table cells, code (in fences) and formulas.
 
-In texts with HTML, each line has a ratio of text to tags. The ratios are smoothed with a
-Gaussian over neighbouring lines and split by a threshold into content and the rest; of
-the rest, lines stay that hold structure or a sentence, so that only menus and empty
-shells go.
+In texts with HTML, each line has a ratio of text to tags, inline ones aside. The ratios are
+smoothed with a Gaussian over neighbouring lines and fall into two clusters, content and
+the rest; of the rest, lines stay that hold structure or end a sentence, so that menus,
+link lists and empty shells go.
+
+The kinds don't depend on the regions: one construct left behind counts, wherever it
+stands, so every line is looked at (see the README for what regions alone would lose).
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ ELEMENTS = frozenset(
     "select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title "
     "tr track tt u ul var video wbr".split()
 )
+#: Elements inside a line of text, which say nothing about what the line is.
+INLINE = frozenset("b i em strong u s sub sup small big code kbd samp var q cite abbr acronym mark font span tt del ins strike dfn br wbr bdi bdo time data".split())
 BLOCKS = frozenset("address article aside blockquote body caption dd div dl dt fieldset figcaption figure footer form header hr html li main nav ol p pre section table tbody tfoot thead title tr ul".split())
 
 # LaTeX commands that stand without braces.
@@ -69,6 +74,9 @@ class _Events(HTMLParser):
         self.quiet = 0
         self.pre = 0
         self.cells = 0
+        self.heading = 0
+        self.lead = False
+        self.menus = 0
 
     def _put(self, s: str) -> None:
         if s and not self.quiet:
@@ -81,25 +89,34 @@ class _Events(HTMLParser):
             s = "\n" + s
         self._put(s)
 
-    def _tag(self) -> None:
+    def _tag(self, name: str = "") -> None:
         self.found = True
-        self.tags[self.line] = self.tags.get(self.line, 0) + 1
+        if name not in INLINE:
+            self.tags[self.line] = self.tags.get(self.line, 0) + 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in ELEMENTS:
             self._put(self.get_starttag_text() or "")
             return
-        self._tag()
+        self._tag(tag)
         if tag in ("script", "style"):
             self.quiet += 1
+        elif tag == "nav":
+            self._line()
+            if self.menus:  # a menu that is closed again; of one left open the rest isn't menu
+                self.menus -= 1
+                self.quiet += 1
         elif tag == "br":
             self._put("\n")
         elif tag == "hr":
             self._put("\n\n")
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self._line("#" * int(tag[1]) + " ")
+            self.heading += 1
+            self.lead = True
         elif tag == "li":
             self._line("- ")
+            self.lead = True
         elif tag == "pre":
             self.pre += 1
             self._line("```\n")
@@ -121,16 +138,23 @@ class _Events(HTMLParser):
         if tag not in ELEMENTS:
             self._put(f"</{tag}>")
             return
-        self._tag()
-        if tag in ("script", "style"):
+        self._tag(tag)
+        if tag in ("script", "style", "nav"):
             self.quiet = max(0, self.quiet - 1)
         elif tag == "pre" and self.pre:
             self.pre -= 1
             self._line("```\n")
         elif tag in BLOCKS or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.heading = max(0, self.heading - (tag not in BLOCKS))
+            self.lead = False
             self._line()
 
     def handle_data(self, data: str) -> None:
+        if self.heading:
+            data = re.sub(r"\s+", " ", data)
+        if self.lead:
+            data = data.lstrip()
+            self.lead = not data
         if not self.pre and data.isspace() and self.out and self.out[-1].endswith("\n"):
             data = "\n" * min(1, max(0, data.count("\n") - 1))  # the line has ended already
         self._put(data)
@@ -172,13 +196,29 @@ class _Events(HTMLParser):
 
     def run(self, text: str) -> str:
         self.source = text
+        self.menus = len(re.findall(r"(?is)<nav\b(?:(?!<nav\b).)*?</nav", text)) if "<nav" in text.lower() else 0
         self.feed(text)
         self.close()
         return "".join(self.out)
 
 
+def clusters(values: list[float]) -> float | None:
+    """The boundary between two clusters of values, by means; none where they aren't a factor of two apart."""
+    low, high = min(values), max(values)
+    for _ in range(20):
+        middle = (low + high) / 2
+        below, above = [v for v in values if v < middle], [v for v in values if v >= middle]
+        if not below or not above:
+            break
+        new = sum(below) / len(below), sum(above) / len(above)
+        if new == (low, high):
+            break
+        low, high = new
+    return (low + high) / 2 if high >= 2 * low and high > 0 else None
+
+
 def content_lines(ratios: list[float], radius: int = 2, sigma: float = 1.0) -> list[bool]:
-    """Lines whose smoothed ratio of text to tags lies above the threshold, half a deviation under the mean."""
+    """Lines whose smoothed ratio of text to tags falls into the higher of two clusters; all where there is one cluster only."""
     if not ratios:
         return []
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
@@ -186,9 +226,8 @@ def content_lines(ratios: list[float], radius: int = 2, sigma: float = 1.0) -> l
     for i in range(len(ratios)):
         near = [(kernel[k + radius], ratios[i + k]) for k in range(-radius, radius + 1) if 0 <= i + k < len(ratios)]
         smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
-    mean = sum(smooth) / len(smooth)
-    deviation = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    return [s >= mean - deviation / 2 for s in smooth]
+    boundary = clusters(smooth)
+    return [boundary is None or s >= boundary for s in smooth]
 
 
 def _regions(text: str, tags: dict[int, int]) -> str:
@@ -200,7 +239,7 @@ def _regions(text: str, tags: dict[int, int]) -> str:
         bare = line.strip()
         fence = bare.startswith("```")
         code ^= fence
-        if good or fence or code or not tags.get(i) or re.match(r"#{1,6} \S|- \S|.* \| ", bare) or re.search(r"[.!?…;:][\"'»“”’)]*$", bare) or len(bare.split()) > 3 or not bare:
+        if good or fence or code or not tags.get(i) or re.match(r"#{1,6} \S|- \S|.* \| |.*\$|.*\\[(\[]", bare) or re.search(r"[.!?…;:][\"'»“”’)]*$", bare) or not bare:
             out.append(line)
     return "\n".join(out)
 
@@ -213,7 +252,9 @@ _INLINE = (
     (re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*[^=\s])?)[ \t]*\1[ \t]*$", re.M), lambda m: f"{'#' * len(m[1])} {m[2]}"),
     (re.compile(r"^\{\|[^\n]*$\n?|^\|\}[ \t]*$\n?|^\|-[^\n]*$\n?", re.M), ""),
     (re.compile(r"^\|[ \t]*:?-{3,}[ \t|:-]*$\n?", re.M), ""),
+    (re.compile(r"^![ \t]*([^\n]*)$", re.M), lambda m: " | ".join(c.strip() for c in re.split(r"!!|\|\|", m[1])) if "!!" in m[1] or "||" in m[1] else m[0]),
     (re.compile(r"^[|!][ \t]*([^|\n]*\|\|[^\n]*)$", re.M), lambda m: " | ".join(c.strip() for c in m[1].split("||"))),
+    (re.compile(r"^(\*{2,})[ \t]+(?=\S)", re.M), lambda m: "  " * (len(m[1]) - 1) + "- "),
     (re.compile(r"^\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*$", re.M), lambda m: " | ".join(c.strip() for c in m[1].split("|"))),
     (re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
     (re.compile(r"\[([^\[\]\n]*)\]\((?:[^()\n]|\([^()\n]*\))*\)"), r"\1"),
