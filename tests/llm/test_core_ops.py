@@ -168,12 +168,22 @@ def test_structure_is_kept():
     assert "Hut" in markup.read("<nav> Hut")[1]
 
 
+def test_kinds_come_from_regions_first():
+    lines = ["Ein langer Absatz über den Garten und den Regen und den Turm am Bach, und noch mehr Worte dazu."] * 8
+    text = "\n".join([*lines, "**Hut** `Turm` **Bach**", *lines])
+    region = markup.marked_regions(text)
+    assert "**Hut**" in region and region.count("Garten") < 8 and markup.read(region, clean=False)[0] == ["markdown"]
+    # one sign in a line like all others lies in no region, and is found by the exact check
+    lone = "\n".join([*lines, "**Hut** `Turm` **Bach**", *lines, lines[0].replace("Turm", "'''Turm'''"), *lines])
+    assert "'''" not in markup.marked_regions(lone) and markup.read(lone, clean=False)[0] == ["markdown", "wiki"]
+
+
 def test_regions_by_clusters():
     menu = "".join(f"<a href=x{i}>Seite {i}</a> <a href=y>mehr zu {i}</a>\n" for i in range(6))
     body = "\n".join("Ein langer Absatz über den Garten und den Regen und den Turm am Bach. " * 4 for _ in range(6))
     got = markup.read(f"{menu}{body}\n{menu}")[1]
     assert "Seite" not in got.replace("Seite 5", "").replace("Seite 0", "") and got.count("Garten") == 24
-    assert markup.clusters([5.0, 5.0, 6.0]) is None and 1 < markup.clusters([1.0, 1.0, 9.0, 9.0]) < 9
+    assert markup.clusters(np.array([5.0, 5.0, 6.0])) is None and 1 < markup.clusters(np.array([1.0, 1.0, 9.0, 9.0])) < 9
 
 
 def test_markup_rows(spark):

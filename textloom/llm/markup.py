@@ -10,8 +10,9 @@ smoothed with a Gaussian over neighbouring lines and fall into two clusters, con
 the rest; of the rest, lines stay that hold structure or end a sentence, so that menus,
 link lists and empty shells go.
 
-The kinds don't depend on the regions: one construct left behind counts, wherever it
-stands, so every line is looked at (see the README for what regions alone would lose).
+The kinds are found in the same way, in the regions of the lower cluster of text to signs.
+As one construct left behind counts wherever it stands, an exact check follows: a kind
+that no region shows is searched in the whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,32 +204,32 @@ class _Events(HTMLParser):
         return "".join(self.out)
 
 
-def clusters(values: list[float]) -> float | None:
-    """The boundary between two clusters of values, by means; none where they aren't a factor of two apart."""
-    low, high = min(values), max(values)
+def clusters(values: np.ndarray) -> float | None:
+    """The boundary between two clusters of values, by means; none where the higher isn't a quarter above the lower."""
+    low, high = float(values.min()), float(values.max())
     for _ in range(20):
-        middle = (low + high) / 2
-        below, above = [v for v in values if v < middle], [v for v in values if v >= middle]
-        if not below or not above:
+        above = values >= (low + high) / 2
+        n = int(above.sum())
+        if not n or n == len(values):
             break
-        new = sum(below) / len(below), sum(above) / len(above)
+        total = float(values[above].sum())
+        new = (float(values.sum()) - total) / (len(values) - n), total / n
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2 if high >= 2 * low and high > 0 else None
+    return (low + high) / 2 if high >= 1.25 * low and high > 0 else None
 
 
 def content_lines(ratios: list[float], radius: int = 2, sigma: float = 1.0) -> list[bool]:
     """Lines whose smoothed ratio of text to tags falls into the higher of two clusters; all where there is one cluster only."""
     if not ratios:
         return []
-    kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    smooth = []
-    for i in range(len(ratios)):
-        near = [(kernel[k + radius], ratios[i + k]) for k in range(-radius, radius + 1) if 0 <= i + k < len(ratios)]
-        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma * sigma))
+    n = len(ratios)
+    # beyond the first and the last line there is nothing to weigh
+    smooth = np.convolve(ratios, kernel)[radius : radius + n] / np.convolve(np.ones(n), kernel)[radius : radius + n]
     boundary = clusters(smooth)
-    return [boundary is None or s >= boundary for s in smooth]
+    return [True] * n if boundary is None else (smooth >= boundary).tolist()
 
 
 def _regions(text: str, tags: dict[int, int]) -> str:
@@ -244,6 +246,26 @@ def _regions(text: str, tags: dict[int, int]) -> str:
     return "\n".join(out)
 
 
+#: Signs that the constructs of Markdown, wikis and LaTeX are made of.
+SIGNS = re.compile(r"[*`\[\]{}\\$^|#>]|''|={2,}|-{3,}|^[-+] ")
+PATTERNS = {"markdown": MARKDOWN, "wiki": WIKI, "latex": LATEX}
+
+
+def marked_regions(source: str) -> str:
+    """The lines whose smoothed ratio of text to signs falls into the lower of two clusters, a blank line between regions.
+
+    A text without signs has none, one with a single cluster is one region.
+    """
+    lines = source.split("\n")
+    marks = [len(SIGNS.findall(line)) for line in lines]
+    if not any(marks):
+        return ""
+    keep = content_lines([len(line.strip()) / max(1, m) if m else len(line) for line, m in zip(lines, marks)])
+    if all(keep):
+        return source
+    return "\n".join("" if good else line for line, good in zip(lines, keep))
+
+
 _INLINE = (
     (re.compile(r"!?\[\[(?:Datei|File|Image|Bild|Fichier|Archivo|Kategorie|Category):[^\]\n]*\]\]"), ""),
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
@@ -308,12 +330,8 @@ def read(text: str, clean: bool = True) -> tuple[list[str], str]:
     else:
         plain = masked
     source = masked if "html" not in kinds else _outside_tags(masked)
-    if MARKDOWN.search(source):
-        kinds.add("markdown")
-    if ("''" in source or "[[" in source or "{" in source or "}" in source or "|" in source or "=" in source or "]]" in source) and WIKI.search(source):
-        kinds.add("wiki")
-    if ("\\" in source or "$" in source or "^{" in source or "_{" in source) and LATEX.search(source):
-        kinds.add("latex")
+    for part in (marked_regions(source), source):
+        kinds |= {kind for kind, pattern in PATTERNS.items() if kind not in kinds and pattern.search(part)}
     if not clean:
         return sorted(kinds), ""
     if not kinds:
