@@ -174,7 +174,7 @@ def test_kinds_come_from_regions_first():
     region = markup.marked_regions(text)
     assert "**Hut**" in region and region.count("Garten") < 8 and markup.read(region, clean=False)[0] == ["markdown"]
     # one sign in a line like all others lies in no region, and is found by the exact check
-    lone = "\n".join([*lines, "**Hut** `Turm` **Bach**", *lines, lines[0].replace("Turm", "'''Turm'''"), *lines])
+    lone = "\n".join([*lines, "**Hut** `Turm` **Bach**", *lines, (lines[0] * 3).replace("Turm", "'''Turm'''", 1), *lines])
     assert "'''" not in markup.marked_regions(lone) and markup.read(lone, clean=False)[0] == ["markdown", "wiki"]
 
 
