@@ -462,7 +462,7 @@ def test_chapter_groups(spark):
 # p8
 
 
-@pytest.mark.parametrize("most", [leaks.MAX_SIGNATURES, 1])
+@pytest.mark.parametrize("most", [leaks.MAX_WINDOWS, 1])
 def test_leaks_against_brute_force(spark, most):
     rng = random.Random(8)
     items = [(i, prose(rng, rng.randint(5, 60))) for i in range(30)] + [(90, None), (91, "zu kurz"), (92, " ")]
@@ -479,10 +479,21 @@ def test_leaks_against_brute_force(spark, most):
     docs += [(900, None), (901, ""), docs[3], (902, items[2][1] * 1 + " " + "x " * 50000)]
     want = {(d, i) for d, t in docs for i, s in items if grams(t, 14) & grams(s, 14)}
     frame = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string").withColumn("hash", F.lit(1))
-    found = [tuple(r) for r in leaks.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"), max_signatures=most).collect()]
+    found = [tuple(r) for r in leaks.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"), max_windows=most).collect()]
     assert set(found) == want and len(found) == len(want) > 20
-    assert leaks.find_leaks(frame(docs[:1], "doc_id").limit(0), frame(items, "item_id"), max_signatures=most).count() == 0
-    assert leaks.find_leaks(frame(docs, "doc_id"), frame(items, "item_id").limit(0), max_signatures=most).count() == 0
+    assert leaks.find_leaks(frame(docs[:1], "doc_id").limit(0), frame(items, "item_id"), max_windows=most).count() == 0
+    assert leaks.find_leaks(frame(docs, "doc_id"), frame(items, "item_id").limit(0), max_windows=most).count() == 0
+
+
+def test_windows_of_leaks(spark):
+    """Windows next to each other mostly share a signature, the least of their shingles."""
+    rng = random.Random(3)
+    item = prose(rng, 30)
+    docs = spark.createDataFrame([(1, "vorab " + item + " danach"), (2, prose(rng, 30))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r) for r in leaks.find_leaks(docs, items).collect()] == [(1, 7)]
+    w = leaks.Windows(__import__("pyarrow").array([item]), 14)
+    assert len(w.signatures) == 17 > len(set(w.signatures)) and (w.sets(np.arange(17)).min(axis=1) == w.signatures).all()
 
 
 # p9

@@ -3,14 +3,18 @@
 A document holds a passage if it has ``words`` consecutive words of the item. Both sides
 are seen as sets of five-word shingles. To find short passages in long documents by
 MinHash, containment has to become similarity, for which the search is partitioned by
-size, and here to the end: each document and item is cut into all its windows of exactly
-the passage's size, so that a window that is contained is equal, and one minimum is a
-signature that never misses. Windows next to each other mostly share their minimum, so a
-document has few distinct ones. Documents that share a minimum with an item are verified
-by the exact containment of the window's shingles, as one hash of its words in order.
-
-The items' signatures are sent to every task where their number is at most
-``MAX_SIGNATURES``, checked beforehand; beyond that, both sides meet in a join.
+size. A passage has one size only, so the partitions are of that size on both sides: each
+document and item is cut into its windows of a passage's shingles, of which one that is
+contained in the other side is equal to a window there, and has the same minimum. One
+minimum is thus a signature that never misses, and as windows next to each other mostly
+share it, a text has few distinct ones.
+
+Windows of a document whose signature an item has are candidates, and only these are
+verified: by the exact containment of all their shingles in the item, one after the other.
+
+The items' windows are sent to every task where their number is at most ``MAX_WINDOWS``,
+checked beforehand; beyond that, the documents' signatures meet the items' in a join, and
+the windows of the documents that met are verified in a second one.
 """
 
 from __future__ import annotations
@@ -23,44 +27,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.tables import filled
-from textloom.llm.words import RUN, distinct_sets, hash_words, owners, runs, window_minima
+from textloom.llm.words import RUN, distinct_sets, hash_words, owners, positions, runs, window_minima
 from textloom.session import Workspace
 
 WORDS = 14
-#: 16 MB of signatures and as much again of windows.
-MAX_SIGNATURES = 1_000_000
+#: With ten shingles each, 20 MB.
+MAX_WINDOWS = 200_000
 
 
-def _signatures(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct window minima by text with offsets, and the windows' own hashes with offsets."""
-    hashes, starts = hash_words(texts)
-    shingles, at = runs(hashes, starts, RUN)
-    least, where = distinct_sets(*window_minima(shingles, at, words - RUN + 1))
-    whole, begin = runs(hashes, starts, words)
-    return least, where, whole, begin
+class Windows:
+    """The windows of a batch of texts: their signatures, whose they are, and their shingles on demand."""
 
+    def __init__(self, texts: pa.Array, words: int):
+        hashes, starts = hash_words(texts)
+        self.width = words - RUN + 1
+        self.shingles, self.at = runs(hashes, starts, RUN)
+        self.signatures, self.begin = window_minima(self.shingles, self.at, self.width)
+        self.owner = owners(self.begin)
 
-def _both(df: DataFrame, key: str, words: int) -> DataFrame:
-    """Rows (key, kind, hash): kind 0 for signatures, 1 for whole windows."""
+    def sets(self, windows: np.ndarray) -> np.ndarray:
+        """The shingles of the windows of these numbers, a row each."""
+        first = self.at[:-1][self.owner[windows]] + windows - self.begin[:-1][self.owner[windows]]
+        return self.shingles[first[:, None] + np.arange(self.width)]
+
+
+def _windows(df: DataFrame, key: str, words: int) -> DataFrame:
+    """Rows (key, signature, shingles) of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least, where, whole, begin = _signatures(batch.column("text"), words)
-            whole, begin = distinct_sets(whole, begin)
-            ids = batch.column(key).to_numpy(zero_copy_only=False)
+            w = Windows(batch.column("text"), words)
+            n = len(w.signatures)
+            sets = w.sets(np.arange(n))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([ids[owners(where)], ids[owners(begin)]]), pa.int64()),
-                    pa.array(np.repeat([0, 1], [len(least), len(whole)]), pa.int32()),
-                    pa.array(np.concatenate([least, whole]).view(np.int64)),
+                    batch.column(key).take(pa.array(w.owner)),
+                    pa.array(w.signatures.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w.width, pa.int32()), pa.array(sets.ravel().view(np.int64))),
                 ],
-                names=[key, "kind", "hash"],
+                names=[key, "signature", "shingles"],
             )
 
-    return df.where(filled("text")).select(key, "text").mapInArrow(run, f"{key} long, kind int, hash long")
+    return df.where(filled("text") & F.col(key).isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, signature long, shingles array<long>")
+
+
+def _signatures(df: DataFrame, key: str, words: int) -> DataFrame:
+    """Rows (key, signature), the distinct ones of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Windows(batch.column("text"), words)
+            least, where = distinct_sets(w.signatures, w.begin)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owners(where))), pa.array(least.view(np.int64))], names=[key, "signature"])
+
+    return df.where(filled("text") & F.col(key).isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, signature long")
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, max_signatures: int = MAX_SIGNATURES) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Pairs doc_id, item_id, each once: the document holds ``words`` consecutive words of the item.
 
     Null, empty and blank texts and those of fewer words hold nothing. Documents with the
@@ -69,34 +92,29 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, max_s
     if words < RUN:
         raise ValueError(f"a passage has at least {RUN} words")
     ws = Workspace(documents.sparkSession, "leaks")
-    known = ws.put(_both(items, "item_id", words).distinct(), "items")
-    if known.count() <= max_signatures:
+    known = ws.put(_windows(items, "item_id", words).distinct(), "items")
+    if known.count() <= max_windows:
         return _in_tasks(documents, known, words).distinct()
-    return _by_join(documents, known, words)
+    return _by_join(documents, known, words, ws)
 
 
 def _in_tasks(documents: DataFrame, known: DataFrame, words: int) -> DataFrame:
-    rows = known.toArrow()
-    kind, hashes, ids = (rows.column(c).to_numpy() for c in ("kind", "hash", "item_id"))
-    signatures = np.unique(hashes[kind == 0].view(np.uint64))
-    order = np.argsort(hashes[kind == 1].view(np.uint64), kind="stable")
-    windows, items = hashes[kind == 1].view(np.uint64)[order], ids[kind == 1][order]
-    sent = documents.sparkSession.sparkContext.broadcast((signatures, windows, items))
+    rows = known.toArrow().combine_chunks()
+    width = words - RUN + 1
+    signatures = rows.column("signature").to_numpy().view(np.uint64)
+    order = np.argsort(signatures, kind="stable")
+    sets = np.asarray(rows.column("shingles").combine_chunks().flatten()).view(np.uint64).reshape(-1, width)[order] if len(order) else np.zeros((0, width), np.uint64)
+    sent = documents.sparkSession.sparkContext.broadcast((signatures[order], sets, rows.column("item_id").to_numpy()[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, windows, items = sent.value
+        signatures, sets, items = sent.value
         for batch in batches:
-            least, where, whole, begin = _signatures(batch.column("text"), words)
-            hit = np.zeros(len(batch), bool)
-            hit[owners(where)[_among(least, signatures)]] = True
-            who = owners(begin)
-            candidate = hit[who]
-            whole, who = whole[candidate], who[candidate]
-            low, high = np.searchsorted(windows, whole, "left"), np.searchsorted(windows, whole, "right")
-            counts = high - low
-            ends = np.cumsum(counts)
-            at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - counts), counts)
-            pairs = np.unique(np.stack([batch.column("doc_id").to_numpy(zero_copy_only=False)[np.repeat(who, counts)], items[at]], axis=1).reshape(-1, 2), axis=0)
+            w = Windows(batch.column("text"), words)
+            candidates = np.flatnonzero(_among(w.signatures, signatures))
+            low, high = (np.searchsorted(signatures, w.signatures[candidates], side) for side in ("left", "right"))
+            window, item = np.repeat(candidates, high - low), positions(low, high - low)
+            contained = (w.sets(window) == sets[item]).all(axis=1) if len(window) else np.zeros(0, bool)
+            pairs = np.unique(np.stack([batch.column("doc_id").to_numpy(zero_copy_only=False)[w.owner[window[contained]]], items[item[contained]]], axis=1).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["doc_id", "item_id"])
 
     return documents.where(filled("text") & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long")
@@ -109,11 +127,10 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _by_join(documents: DataFrame, known: DataFrame, words: int) -> DataFrame:
+def _by_join(documents: DataFrame, known: DataFrame, words: int, ws: Workspace) -> DataFrame:
     """The same with a join on signatures, then one on the windows of the documents that met."""
-    some = documents.where(F.col("doc_id").isNotNull())
-    ours = _both(some, "doc_id", words)
-    met = ours.where("kind = 0").join(known.where("kind = 0"), "hash").select("doc_id", "item_id").distinct()
-    docs = ours.where("kind = 1").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
-    exact = docs.join(known.where("kind = 1"), "hash").select("doc_id", "item_id").distinct()
-    return exact.join(met, ["doc_id", "item_id"], "left_semi")
+    wanted = known.select("signature").distinct()
+    met = ws.put(_signatures(documents, "doc_id", words).join(wanted, "signature", "left_semi").distinct(), "met")
+    some = documents.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    windows = _windows(some, "doc_id", words).join(met, ["doc_id", "signature"], "left_semi")
+    return windows.join(known, ["signature", "shingles"]).select("doc_id", "item_id").distinct()
