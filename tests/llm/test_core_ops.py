@@ -407,10 +407,11 @@ def test_survivors(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "chapter_id long, group_id long")
     trust = spark.createDataFrame([("docx", 1), ("md", 2), ("txt", 5)], "source_type string, trust_rank int")
     got = {r["group_id"]: r for r in survivors.survivors(chapters, groups, trust).collect()}
-    assert [got[1][c] for c in ("content_from", "score_from", "source_from")] == [2, 3, 3] and "der hut" in got[1]["titles"]
-    assert [got[4][c] for c in ("content_from", "score_from", "source_from", "titles")] == [5, None, 4, None]
+    assert [got[1][c] for c in ("content_from", "score_from", "source_from")] == [2, 3, 3] and [got[4][c] for c in ("content_from", "score_from", "source_from")] == [5, None, 4]
     whole = {r["group_id"]: r for r in survivors.records(chapters, groups, trust).collect()}
     assert (whole[1]["content"], whole[1]["score"], whole[1]["source_file"]) == ("viel länger", 7.0, "c.DOCX")
+    assert "der hut" in whole[1]["titles"] and whole[4]["titles"] is None and whole[4]["score_p"] is None and all(0 < whole[1][p] < 1 for p in ("content_p", "score_p", "source_p"))
+    assert survivors.records(chapters.limit(0), groups.limit(0), trust).count() == 0
     assert survivors.survivors(chapters.limit(0), groups.limit(0), trust).count() == 0
 
 

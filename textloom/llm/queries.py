@@ -67,8 +67,7 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    chosen = survivors.survivors(table(spark, d, "chapters"), _groups(spark, d), table(spark, d, "source_trust"))
-    return chosen.select("group_id", "content_from", "score_from", "source_from")
+    return survivors.survivors(table(spark, d, "chapters"), _groups(spark, d), table(spark, d, "source_trust"))
 
 
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
