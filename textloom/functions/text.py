@@ -38,6 +38,11 @@ FACTUAL = [
 ]
 # Words that call for the best model.
 EXCELLENT = ["essenz", "gesamtwerk", "identitaets-update", "grosse synthese", "abschluss-reflexion", "tief kreativ"]
+# Word stems that call for a good model, in the rules with three tiers.
+GOOD = [
+    "analyse", "essay", "reflekti", "interpret", "deute", "philosoph", "identitaet", "kreativ", "dicht", "schreib",
+    "widerspruch", "korrektur", "kommentier", "zusammenfass", "tiefgehend", "komplex",
+]
 # Phrases of an answer that isn't one.
 UNSURE = ["weiss ich nicht", "kann ich nicht", "keine ahnung", "muesste ich", "unsicher", "nicht sicher", "unklar"]
 
@@ -247,6 +252,51 @@ def route(text: Column, best: bool = True, any_model: bool = True) -> Column:
     return F.when(asks, "excellent").otherwise("standard") if best else F.lit("fallback" if any_model else "none")
 
 
+def route_tiers(text: Column) -> Column:
+    """The rules with three tiers: excellent, else good if it asks for that, else standard."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike("|".join(EXCELLENT)), "excellent").when(low.rlike("|".join(GOOD)), "good").otherwise("standard")
+
+
+def route_two(text: Column) -> Column:
+    """The oldest rules, with two tiers: good if it asks for that, else standard."""
+    return F.when(F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(GOOD)), "good").otherwise("standard")
+
+
+def printable(text: Column) -> Column:
+    """Without control characters but tabs and line ends, and without invisible ones."""
+    return strip(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}-\x{200f}\x{feff}]", ""))
+
+
+def cell(text: Column, most: int) -> Column:
+    """The beginning of a text for a table's cell: bars escaped, lines joined."""
+    return F.replace(F.replace(F.substring(F.coalesce(text, F.lit("")), 1, most), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def clamp(value: Column, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(value, F.lit(high)))
+
+
+def pause_seconds(minutes: Column) -> Column:
+    return F.when(minutes <= 5, 60).when(minutes <= 30, 180).otherwise(300)
+
+
+def log_parts(text: Column) -> Column:
+    """A log's parts: what stands before the first heading with a date, and each entry."""
+    return F.split(text, r"\n(?=### \d{4}-\d{2}-\d{2})")
+
+
+def front_matter_fields(text: Column) -> Column:
+    """Map of the fields of front matter that ends at the next three hyphens wherever they stand; quotes around values go, the last of equal keys counts."""
+    end = F.locate("---", text, 4)
+    head = F.when(text.startswith("---") & (end > 0), F.substring(text, F.lit(4), end - 4))
+    lines = F.filter(F.split(strip(F.coalesce(head, F.lit(""))), "\n"), lambda x: x.contains(":"))
+    fields = F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.regexp_replace(strip(F.substr(x, F.locate(":", x) + 1)), '^"+|"+$', ""), "^'+|'+$", "").alias("value")))
+    keys = F.transform(fields, lambda x: x["key"])
+    # the last of equal keys
+    return F.map_from_entries(F.filter(fields, lambda x, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), x["key"]) == 0))
+
+
 def sentences(text: Column) -> Column:
     return F.split(strip(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+")
 
@@ -286,28 +336,35 @@ def occurrences(text: Column, terms: list[str]) -> Column:
     return sum(one[1:], one[0]).cast("int")
 
 
-def page_basic(html: Column) -> Column:
+# The entities that a page's plain text decodes, in this order.
+BASIC_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#160;", " "))
+
+
+def page_basic(html: Column, decode: bool = True) -> Column:
     """Text of a page: ends of blocks become line ends, tags go, the seven basic entities are decoded."""
     t = F.regexp_replace(html, r"(?i)</(p|div|h[1-6]|li|br|pre)>", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", "")
-    for entity, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#160;", " ")):
+    for entity, sign in BASIC_ENTITIES if decode else ():
         t = F.replace(t, F.lit(entity), F.lit(sign))
     return t
 
 
-def page_text(html: Column) -> Column:
-    """As ``page_basic`` but for head, style and script, rules of style sheets, and many blank lines."""
+def page_text(html: Column, decode: bool = True) -> Column:
+    """As ``page_basic`` but for head, style and script, rules of style sheets, and many blank lines.
+
+    ``decode=False`` leaves the entities as they are, for a reader that decodes all of them once.
+    """
     t = html
     for tag in ("head", "style", "script"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
     body = F.regexp_extract(t, r"(?is)<body[^>]*>(.*?)</body>", 1)
-    t = page_basic(F.when(t.rlike(r"(?is)<body[^>]*>.*?</body>"), body).otherwise(t))
+    t = page_basic(F.when(t.rlike(r"(?is)<body[^>]*>.*?</body>"), body).otherwise(t), decode)
     lines = F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^\s*(@(page|media|font|import)|[{}])|margin-|padding-|font-size:|font-family:|color:\s*#"))
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
-def page_title(html: Column) -> Column:
-    """First heading of 3 to 200 characters, else first short paragraph, else the title; null without."""
+def page_title(html: Column, number: Column | None = None) -> Column:
+    """First heading of 3 to 200 characters, else first short paragraph, else the title; else a name with the number, null without one."""
     def plain(c: Column) -> Column:
         return strip(F.regexp_replace(c, r"<[^>]+>", ""))
 
@@ -315,7 +372,7 @@ def page_title(html: Column) -> Column:
     ok = lambda c, most: (F.length(c) >= 3) & (F.length(c) <= most)
     paragraphs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1), plain)
     short = F.filter(paragraphs, lambda p: ok(p, 150) & ~p.rlike("@page|margin-|font-"))
-    return F.coalesce(F.when(ok(heading, 200), heading), F.try_element_at(short, F.lit(1)), F.nullif(strip(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit("")))
+    return F.coalesce(F.when(ok(heading, 200), heading), F.try_element_at(short, F.lit(1)), F.nullif(strip(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit("")), *([] if number is None else [F.format_string("(Datei %d)", number)]))
 
 
 def clean_lines(text: Column) -> Column:

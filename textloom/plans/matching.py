@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.operators import graph
 from textloom.operators import similarity as M
 from textloom.operators.numbering import number_rows
-from textloom.plans.common import sql_display, sql_runs, sql_title, sql_tokens, table
+from textloom.plans.common import sql_display, sql_runs, sql_title, sql_tokens, sql_words, table
 from textloom.plans.texts import chapter_score
 from textloom.plans.texts import SQL as TEXT_SQL
 from textloom.session import Workspace, spread
@@ -244,10 +244,12 @@ def unique_ratio(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("source_file").agg(F.count("*").alias("n_all"), F.count(F.when(F.col("there").isNull(), 1)).alias("n_unique"))
 
 
-@query("SELECT source_file, count(*) AS n_chapters, round(avg(n), 6) AS mean_chars, max(n) AS most_chars FROM (SELECT DISTINCT chapter_id, source_file, coalesce(length(content), 0) AS n FROM chapters) GROUP BY 1")
+@query(f"""SELECT source_file, count(*) AS n_chapters, round(avg(n), 6) AS mean_chars, max(n) AS most_chars, round(avg(words), 6) AS mean_words
+    FROM (SELECT DISTINCT chapter_id, source_file, coalesce(length(content), 0) AS n, len({sql_words('content')}) AS words FROM chapters) GROUP BY 1""")
 def source_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chapters").select("chapter_id", "source_file", F.coalesce(F.length("content"), F.lit(0)).alias("n")).distinct()
-    return c.groupBy("source_file").agg(F.count("*").alias("n_chapters"), F.round(F.avg("n"), 6).alias("mean_chars"), F.max("n").alias("most_chars"))
+    """Chapters of each source with their mean words, and their mean and most characters."""
+    c = table(spark, d, "chapters").select("chapter_id", "source_file", F.coalesce(F.length("content"), F.lit(0)).alias("n"), T.word_count(F.col("content")).alias("words")).distinct()
+    return c.groupBy("source_file").agg(F.count("*").alias("n_chapters"), F.round(F.avg("n"), 6).alias("mean_chars"), F.max("n").alias("most_chars"), F.round(F.avg("words"), 6).alias("mean_words"))
 
 
 @query("""SELECT match_id, source_a, index_a, source_b, index_b, score FROM (SELECT *, row_number() OVER (PARTITION BY source_a ORDER BY score DESC, match_id) AS r FROM

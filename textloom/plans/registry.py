@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import chat, cutting, matching, retrieval, texts, versions
+from textloom.plans import chat, cutting, matching, reports, retrieval, texts, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (texts, matching, versions, chat, retrieval, cutting)
+PARTS = (texts, matching, versions, chat, retrieval, cutting, reports)
 
 
 def queries() -> dict[str, Query]:

@@ -23,7 +23,7 @@ from textloom.sources.html import to_markdown
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DOCUMENT = "path string, filename string, source_type string, size_bytes long, part string, title string, text string, error string"
 #: Parts of a book that hold no chapter.
-SKIPPED = re.compile(r"toc|nav|cover|title|copyright|colophon|index", re.I)
+SKIPPED = re.compile(r"titlepage|title_page|toc|nav|cover|copyright|about", re.I)
 
 
 @F.pandas_udf(StringType())
@@ -110,7 +110,7 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = False, shor
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     files = files.where(~F.col("path").rlike(r"/(README\.md|[._][^/]*)$")).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", "content")
     parts = files.mapInPandas(run, schema)
-    text = F.when(F.col("page").isNotNull(), unescape(T.page_text(F.col("page")))).otherwise(F.col("text"))
+    text = F.when(F.col("page").isNotNull(), unescape(T.page_text(F.col("page"), decode=False))).otherwise(F.col("text"))
     out = parts.select("path", "filename", "source_type", "size_bytes", "part", unescape(T.page_title(F.col("page"))).alias("title"), text.alias("text"), "error")
     return out.where((F.length("text") >= shortest) | F.col("error").isNotNull() | (F.col("part") == ""))
 
