@@ -131,3 +131,27 @@ def test_nearest(spark):
     got = sorted(tuple(r) for r in top_k(v.where("vec_id = 1"), v, 3).collect())
     assert got == [(1, 1, 0.0), (1, 2, 1.0), (1, 3, 0.0)]
     assert top_k(v.limit(0), v, 3).count() == 0
+
+
+def test_front_matter_fields(spark):
+    texts = ["---\ntitle: \"Der 'Hut'\"\ndate: 2020-01-02: x\nleer\ntitle: zwei\n---\nKörper", "ohne", None, "---\nnie zu", "---\n---\nx"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.front_matter_fields(F.col("t"))).collect()]
+    assert got == [{"date": "2020-01-02: x", "title": "zwei"}, {}, {}, {}, {}]
+
+
+def test_small_rules(spark):
+    row = spark.createDataFrame([("a|b\nc\x07\u200b ", 0, 31)], "t string, a int, b int").select(
+        T.cell(F.col("t"), 4).alias("cell"), T.printable(F.col("t")).alias("printable"), T.clamp(F.col("a"), 1, 480).alias("a"), T.pause_seconds(F.col("b")).alias("b"), T.route_tiers(F.lit("Eine ANALYSE")).alias("r"), T.route_two(F.lit("nichts")).alias("s"),
+        T.log_parts(F.lit("Kopf\n### 2020-01-02 10:00\nx\n### kein Datum\n### 2021-01-01\n")).alias("l"), T.page_title(F.lit("<i>x</i>"), F.lit(3)).alias("p"),
+    ).first()
+    assert (row["cell"], row["printable"], row["a"], row["b"], row["r"], row["s"], row["p"]) == ("a\\|b ", "a|b\nc", 1, 300, "good", "standard", "(Datei 3)")
+    assert row["l"] == ["Kopf", "### 2020-01-02 10:00\nx\n### kein Datum", "### 2021-01-01\n"]
+
+
+def test_numbers_by_value(spark):
+    from textloom.operators.numbering import number_rows
+
+    rows = [(k, "x" if k % 3 else None if k % 2 else "y") for k in range(200)]
+    got = number_rows(spark.createDataFrame(rows, "k long, g string"), F.desc("k"), by="g").collect()
+    for g in ("x", "y", None):
+        assert [r["number"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: -r["k"])] == list(range(1, sum(r[1] == g for r in rows) + 1))

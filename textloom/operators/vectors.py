@@ -46,3 +46,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> Da
     near = pairs.select("qids", "qxs", "vids", "vxs").mapInArrow(run, "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:  # noqa: ANN001
+    """The table through a function of whole batches (an iterator of pandas frames), such as one that asks a model from outside."""
+    return df.mapInPandas(function, schema)

@@ -35,11 +35,25 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return top_k(v.where("vec_id % 20 = 0"), v, 5)
 
 
+def search_library(spark: SparkSession, vectors: DataFrame, asked: DataFrame, texts: DataFrame, terms: dict[str, list[str]], n: int = 5) -> DataFrame:
+    """Rows query, id, distance: the nearest vectors (vec_id, embedding) of the queries (vec_id as name, embedding); where there are none at all, the best texts (doc_id, text) by words."""
+    if not vectors.isEmpty():
+        return top_k(asked, vectors, n).select(F.col("query_id").cast("string").alias("query"), F.col("vec_id").alias("id"), "distance")
+    hits = word_hits(texts, terms)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("query", F.col("doc_id").alias("id"), (F.lit(1.0) / (1 + F.col("score"))).alias("distance"))
+
+
+def word_hits(texts: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
+    """Rows doc_id, text, query, score of the texts that hold a term of a query."""
+    return texts.select(
+        "doc_id", "text", F.explode(F.array(*(F.struct(F.lit(q).alias("query"), T.occurrences(F.col("text"), words).alias("score")) for q, words in terms.items()))).alias("x")
+    ).select("doc_id", "text", "x.query", "x.score").where("score > 0")
+
+
 def _search(spark: SparkSession, d: str, n: int) -> DataFrame:
     """Rows (query, doc_id, score, distance) of the n best texts of each query in TERMS."""
-    hits = spread(table(spark, d, "documents")).select(
-        "doc_id", "text", F.explode(F.array(*(F.struct(F.lit(q).alias("query"), T.occurrences(F.col("text"), terms).alias("score")) for q, terms in TERMS.items()))).alias("x")
-    ).select("doc_id", "text", "x.query", "x.score").where("score > 0")
+    hits = word_hits(spread(table(spark, d, "documents")), TERMS)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
 

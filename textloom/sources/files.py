@@ -8,7 +8,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -70,30 +70,41 @@ def zip_pages(content: bytes, inside: str = "") -> list[tuple[str, str]]:
         return [(n, z.read(n).decode("utf-8", errors="replace")) for n in below or names]
 
 
-def _parts(name: str, content: bytes) -> Iterator[tuple[str, str | None, str | None, str | None]]:
-    """(part, title, text, source of a page) of a file by its ending."""
+Part = tuple[str, str | None, str | None]
+
+
+def _book(content: bytes, inside: str, skip: bool) -> Iterator[Part]:
+    for part, page in zip_pages(content, inside):
+        if not (skip and SKIPPED.search(part.rsplit("/", 1)[-1])):
+            yield part, None, page
+
+
+#: What reads a file by its ending: its parts as (name, text) or (name, source of a page). Others can be added.
+READERS: dict[str, Callable[[bytes], Iterable[Part]]] = {
+    "docx": lambda content: [("", "\n".join(t for _, t in docx_paragraphs(content)), None)],
+    "epub": lambda content: _book(content, "", True),
+    "zip": lambda content: _book(content, "/OEBPS", False),
+    "html": lambda content: [("", None, content.decode("utf-8", errors="replace"))],
+    "md": lambda content: [("", html.unescape(content.decode("utf-8", errors="replace")), None)],
+    "txt": lambda content: [("", html.unescape(content.decode("utf-8", errors="replace")), None)],
+}
+
+
+def _parts(name: str, content: bytes, readers: dict[str, Callable[[bytes], Iterable[Part]]]) -> Iterable[Part]:
     kind = name.rsplit(".", 1)[-1].lower()
-    if kind == "docx":
-        yield "", None, "\n".join(t for _, t in docx_paragraphs(content)), None
-    elif kind in ("epub", "zip"):
-        for part, page in zip_pages(content, "/OEBPS" if kind == "zip" else ""):
-            if not SKIPPED.search(part.rsplit("/", 1)[-1]):
-                yield part, None, None, page
-    elif kind == "html":
-        yield "", None, None, content.decode("utf-8", errors="replace")
-    elif kind in ("md", "txt"):
-        yield "", None, html.unescape(content.decode("utf-8", errors="replace")), None
-    else:
+    if kind not in readers:
         raise ValueError(f"no reader for .{kind}")
+    return readers[kind](content)
 
 
-def read_documents(spark: SparkSession, path: str, recursive: bool = False, shortest: int = 20) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, recursive: bool = False, shortest: int = 20, readers: dict[str, Callable[[bytes], Iterable[Part]]] | None = None) -> DataFrame:
     """Documents of all formats by their ending: md, txt, html, docx one row each, epub and zip one a page.
 
-    Pages of fewer than ``shortest`` characters are left out. A file that can't be read has an
+    ``readers`` adds to READERS or replaces some. Pages of fewer than ``shortest`` characters are left out. A file that can't be read has an
     error and no text.
     """
     ship(spark)
+    known = {**READERS, **(readers or {})}
     schema = "path string, filename string, source_type string, size_bytes long, part string, text string, page string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +113,7 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = False, shor
             for r in frame.itertuples(index=False):
                 base = {"path": r.path, "filename": r.filename, "source_type": r.filename.rsplit(".", 1)[-1].lower(), "size_bytes": r.length}
                 try:
-                    rows += [{**base, "part": part, "text": text, "page": page, "error": None} for part, _, text, page in _parts(r.filename, bytes(r.content))]
+                    rows += [{**base, "part": part, "text": text, "page": page, "error": None} for part, text, page in _parts(r.filename, bytes(r.content), known)]
                 except Exception as e:  # noqa: BLE001
                     rows.append({**base, "part": "", "text": None, "page": None, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=["path", "filename", "source_type", "size_bytes", "part", "text", "page", "error"])
@@ -115,20 +126,64 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = False, shor
     return out.where((F.length("text") >= shortest) | F.col("error").isNotNull() | (F.col("part") == ""))
 
 
+_ITEM = "title string, content string, category array<struct<value:string,domain:string>>, id long, date string, slug string, status string, parent long, kind string, url string"
+
+
+def _export_items(source: io.BufferedIOBase) -> Iterator[tuple]:
+    """Items of an export, one at a time; elements are told by their local names, whatever version of the format."""
+    for _, e in ElementTree.iterparse(source):
+        if e.tag != "item":
+            continue
+        own = {c.tag.rsplit("}", 1)[-1] if "}" in c.tag else c.tag: c.text for c in e if not ("excerpt" in c.tag and c.tag.endswith("encoded"))}
+        number = lambda name: int(own[name]) if (own.get(name) or "").strip().isdigit() else None
+        labels = [(c.text, c.get("domain")) for c in e if c.tag == "category"]
+        yield own.get("title"), own.get("encoded"), [{"value": v, "domain": d} for v, d in labels], number("post_id"), own.get("post_date"), own.get("post_name"), own.get("status"), number("post_parent"), own.get("post_type"), own.get("attachment_url")
+        e.clear()
+
+
 def read_posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Posts and attachments of a blog's export (items of RSS with the export's own elements)."""
-    item = (
-        "title string, `content:encoded` string, category array<struct<_VALUE:string,_domain:string,_nicename:string>>, `wp:post_id` long, `wp:post_date` string, "
-        "`wp:post_name` string, `wp:status` string, `wp:post_parent` long, `wp:post_type` string, `wp:attachment_url` string"
-    )
-    items = spark.read.format("xml").option("rowTag", "item").option("valueTag", "_VALUE").schema(item).load(path)
-    labels = lambda domain: F.transform(F.filter(F.coalesce("category", F.array().cast("array<struct<_VALUE:string,_domain:string,_nicename:string>>")), lambda c: c["_domain"] == domain), lambda c: c["_VALUE"])
-    posts = items.where("`wp:post_type` = 'post'").select(
-        F.col("`wp:post_id`").alias("id"), "title", F.col("`wp:post_name`").alias("slug"), F.col("`wp:post_date`").alias("date"), F.coalesce("`wp:status`", F.lit("draft")).alias("status"),
-        F.col("`content:encoded`").alias("content_html"), labels("category").alias("categories"), labels("post_tag").alias("tags"),
-    )
-    attachments = items.where("`wp:post_type` = 'attachment'").select(F.col("`wp:post_id`").alias("post_id"), F.col("`wp:attachment_url`").alias("url"), F.col("`wp:post_parent`").alias("parent_id"), "title")
-    return posts, attachments
+    """Posts and attachments of a blog's export: its XML files, or zip archives of them.
+
+    Plain files are cut at their items by Spark's reader; archives are streamed item by item,
+    an archive a task.
+    """
+    if path.lower().endswith(".zip"):
+        ship(spark)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["title", "content", "category", "id", "date", "slug", "status", "parent", "kind", "url"]
+            for frame in frames:
+                for content in frame["content"]:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        for name in sorted(n for n in z.namelist() if n.lower().endswith(".xml")):
+                            with z.open(name) as f:
+                                yield pd.DataFrame(list(_export_items(f)), columns=names)
+
+        items = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, _ITEM)
+    else:
+        item = (
+            "title string, `content:encoded` string, category array<struct<_VALUE:string,_domain:string,_nicename:string>>, `wp:post_id` long, `wp:post_date` string, "
+            "`wp:post_name` string, `wp:status` string, `wp:post_parent` long, `wp:post_type` string, `wp:attachment_url` string"
+        )
+        raw = spark.read.format("xml").option("rowTag", "item").option("valueTag", "_VALUE").schema(item).load(path)
+        items = raw.select(
+            "title", F.col("`content:encoded`").alias("content"), F.transform("category", lambda c: F.struct(c["_VALUE"].alias("value"), c["_domain"].alias("domain"))).alias("category"), F.col("`wp:post_id`").alias("id"), F.col("`wp:post_date`").alias("date"),
+            F.col("`wp:post_name`").alias("slug"), F.col("`wp:status`").alias("status"), F.col("`wp:post_parent`").alias("parent"), F.col("`wp:post_type`").alias("kind"), F.col("`wp:attachment_url`").alias("url"),
+        )
+    labels = lambda domain: F.transform(F.filter(F.coalesce("category", F.array().cast("array<struct<value:string,domain:string>>")), lambda c: c["domain"] == domain), lambda c: c["value"])
+    posts = items.where("kind = 'post'").select("id", "title", "slug", "date", F.coalesce("status", F.lit("draft")).alias("status"), F.col("content").alias("content_html"), labels("category").alias("categories"), labels("post_tag").alias("tags"))
+    return posts, items.where("kind = 'attachment'").select(F.col("id").alias("post_id"), "url", F.col("parent").alias("parent_id"), "title")
+
+
+def with_attachments(posts: DataFrame, attachments: DataFrame, media: DataFrame) -> DataFrame:
+    """Adds to ``media`` of each post (see local_images) the local names of its attachments that the archives hold, each once, the ones in its text first.
+
+    Posts without attachments stay as they are.
+    """
+    held = attachments.where("parent_id > 0").select(F.col("parent_id").alias("id"), "post_id", T.upload_path(F.col("url")).alias("url_path")).join(media.select("url_path", "name").dropDuplicates(["url_path"]), "url_path")
+    own = held.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("post_id", "name"))).alias("own"))
+    names = F.transform(F.coalesce("own", F.array().cast(own.schema["own"].dataType)), lambda x: x["name"])
+    return posts.join(own, "id", "left").withColumn("media", F.array_distinct(F.concat("media", names))).drop("own")
 
 
 def list_media(spark: SparkSession, path: str) -> DataFrame:

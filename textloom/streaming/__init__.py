@@ -24,6 +24,15 @@ def append_events(events: DataFrame, path: str, checkpoint: str, late: str = "1
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: So many events of a log are kept at hand.
+KEPT = 500
+
+
+def kept_events(log: DataFrame, most: int = KEPT) -> DataFrame:
+    """The last events of the log (as append_events writes it), by time; of equal times by role and message."""
+    return log.orderBy(F.desc("timestamp"), "role", "message").limit(most)
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Events and users' turns by session; an extension, as logs have one file by process."""
     return events.withWatermark("timestamp", late).groupBy(F.session_window("timestamp", gap).alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("role") == "user", 1)).alias("n_user")).select("w.start", "w.end", "n", "n_user")
