@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -71,12 +72,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def clear_workspaces() -> None:
+    """Deletes the tables of all workspaces; what was made of them can't be read any more. The end of the program does so by itself."""
+    while _ROOTS:
+        spark, root = _ROOTS.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # noqa: BLE001, S110
+            pass  # the JVM is gone, or the folder
+
+
+atexit.register(clear_workspaces)
+
+
 class Workspace:
-    """Tables written to the shared folder, to cut lineage and survive lost executors."""
+    """Tables written to the shared folder, to cut lineage and survive lost executors; deleted when the program ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/textloom-{label}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append((spark, self.root))
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
