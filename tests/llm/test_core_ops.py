@@ -512,6 +512,16 @@ def test_apportionment():
         assert min(given, default=9) >= max(open_, default=0) - 1e-12
 
 
+def test_shard_quotas():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        tokens = rng.integers(1, 900, int(rng.integers(1, 9)))
+        repeats, block = int(rng.integers(1, 4)), int(rng.choice([16, 64]))
+        blocks = int(rng.integers(0, repeats * tokens.sum() // block + 1))
+        got = mixture.shard_quotas(tokens, blocks, repeats, block)
+        assert got.sum() == blocks * block and (got <= repeats * tokens).all() and (got >= 0).all()
+
+
 def test_mixture(spark):
     rng = random.Random(6)
     docs = [(i, prose(rng, rng.randint(20, 80)), rng.choice(["groß"] * 6 + ["klein", "mittel", "ungenannt", None])) for i in range(900)]

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +28,7 @@ from textloom.session import Workspace
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BLOCK_TOKENS = 1024
 SHARD_TOKENS = 200_000
-#: With more tokens than fill so many shards, the shards grow instead.
-MAX_SHARDS = 50_000
 SEED = 11
-MAX_SOURCES = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -91,41 +89,29 @@ def apportion(weights: np.ndarray, seats: int, caps: np.ndarray | None = None) -
 
 
 class Plan:
-    """Quotas by source and by shard, small tables both."""
+    """Blocks by source: a row for each source that is listed, no more."""
 
-    def __init__(self, sources: list[dict], shards: list[tuple[str, int, int]], block: int):
-        have = {r["source"]: 0 for r in sources}
-        for s, _, t in shards:
-            have[s] += t
-        usable = [r for r in sources if have[r["source"]] > 0 and r["share"] > 0 and r["repeats"] > 0]
+    def __init__(self, sources: list[dict], have: dict[str, int], block: int):
+        usable = [r for r in sources if have.get(r["source"], 0) > 0 and r["share"] > 0 and r["repeats"] > 0]
         total_share = sum(r["share"] for r in usable)
         self.total = int(min((r["repeats"] * have[r["source"]] * total_share / r["share"] for r in usable), default=0))
         caps = np.array([r["repeats"] * have[r["source"]] // block for r in usable], np.int64)
         blocks = apportion(np.array([r["share"] for r in usable]), self.total // block, caps) if usable else np.zeros(0, np.int64)
         self.blocks = {r["source"]: int(b) for r, b in zip(usable, blocks)}
-        self.have = have
-        self.quotas: list[tuple[str, int, int, int]] = []
-        by: dict[str, list[tuple[int, int]]] = {}
-        for s, k, t in shards:
-            by.setdefault(s, []).append((k, t))
-        for r in usable:
-            s = r["source"]
-            own = sorted(by[s])
-            tokens = np.array([t for _, t in own])
-            got = apportion(tokens, self.blocks[s], r["repeats"] * tokens // block)
-            # what is less than a block in every shard
-            rest = (self.blocks[s] - int(got.sum())) * block
-            for (k, t), g in zip(own, got):
-                more = max(0, min(rest, r["repeats"] * t - int(g) * block))
-                rest -= more
-                self.quotas.append((s, int(k), int(g) * block + more, int(t)))
+        self.repeats = {r["source"]: r["repeats"] for r in usable}
+
+
+def shard_quotas(tokens: np.ndarray, blocks: int, repeats: int, block: int) -> np.ndarray:
+    """Tokens that each shard of a source has to give: its blocks, and of what is less than a block everywhere the first ones as much as they have."""
+    got = apportion(tokens, blocks, repeats * tokens // block)
+    left = repeats * tokens - got * block
+    before = np.cumsum(left) - left
+    return got * block + np.clip((blocks - int(got.sum())) * block - before, 0, left)
 
 
 def _counted(documents: DataFrame, targets: DataFrame, tokenizer: str, ws: Workspace) -> tuple[DataFrame, list[dict]]:
     """Each distinct text of a listed source once, under its lowest doc_id, and the targets."""
     rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    if rows.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources are listed")
     sources = [{"source": r["source"], "share": max(0.0, r["share"] or 0.0), "repeats": max(0, r["repeats"] or 0)} for r in rows.orderBy("source").collect()]
     listed = documents.where(filled("text") & F.col("doc_id").isNotNull()).join(F.broadcast(rows.select("source")), "source", "left_semi")
     counted = count_tokens(listed, tokenizer)
@@ -144,13 +130,18 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     spark = documents.sparkSession
     ws = Workspace(spark, "mixture")
     texts, sources = _counted(documents, targets, tokenizer, ws)
-    sizes = {r["source"]: r["t"] for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    shard = max(shard, -(-sum(sizes.values()) // MAX_SHARDS))
-    counts = spark.createDataFrame([(s, max(1, -(-t // shard))) for s, t in sizes.items()] or [], "source string, shards long")
-    placed = ws.put(texts.join(F.broadcast(counts), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards"))).drop("shards"), "placed")
-    held = [(r["source"], r["shard"], r["t"]) for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()]
-    plan = Plan(sources, held, block)
-    quotas = spark.createDataFrame(plan.quotas, "source string, shard long, quota long, held long")
+    sizes = {r["source"]: r["t"] for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # listed sources only
+    plan = Plan(sources, sizes, block)
+    counts = spark.createDataFrame([(s, max(1, -(-t // shard)), plan.blocks.get(s, 0), plan.repeats.get(s, 0)) for s, t in sizes.items()] or [], "source string, shards long, blocks long, repeats int")
+    placed = ws.put(texts.join(F.broadcast(counts.select("source", "shards")), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards"))).drop("shards"), "placed")
+    held = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held")).join(F.broadcast(counts.where("blocks > 0").select("source", "blocks", "repeats")), "source")
+
+    def share_out(shards: pd.DataFrame) -> pd.DataFrame:
+        """The shards of one source: of SHARD_TOKENS tokens each, so that even 10^12 tokens are five million numbers."""
+        shards = shards.sort_values("shard")
+        return shards[["source", "shard", "held"]].assign(quota=shard_quotas(shards["held"].to_numpy(), int(shards["blocks"].iloc[0]), int(shards["repeats"].iloc[0]), block))
+
+    quotas = ws.put(held.groupBy("source").applyInPandas(share_out, "source string, shard long, held long, quota long"), "quotas")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
     ran = placed.join(quotas, ["source", "shard"]).withColumn("upto", F.sum("n_tokens").over(order))
     passes = F.floor(F.col("quota") / F.col("held"))
@@ -159,17 +150,17 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     used = ws.put(used, "used")
     sums = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.count("*").alias("n_texts"), F.max("uses").alias("most_uses"))
     told = spark.createDataFrame(
-        [(r["source"], r["share"], r["repeats"], plan.have[r["source"]], plan.blocks.get(r["source"], 0)) for r in sources],
-        "source string, listed_share double, max_repeats int, available_tokens long, blocks long",
+        [(r["source"], r["share"], r["repeats"], sizes.get(r["source"], 0), plan.blocks.get(r["source"], 0), r["source"] in plan.blocks) for r in sources],
+        "source string, listed_share double, max_repeats int, available_tokens long, blocks long, usable boolean",
     )
-    whole, usable = sum(r["share"] for r in sources) or 1.0, sum(r["share"] for r in sources if plan.blocks.get(r["source"])) or 1.0
+    whole, usable = sum(r["share"] for r in sources) or 1.0, sum(r["share"] for r in sources if r["source"] in plan.blocks) or 1.0
     report = told.join(F.broadcast(sums), "source", "left").na.fill({"used_tokens": 0, "n_texts": 0, "most_uses": 0})
     # at most as many rows as sources are listed
     total = sums.agg(F.sum("used_tokens").alias("total_tokens"))
     report = report.join(F.broadcast(total), how="left").select(
         "source",
         (F.col("listed_share") / whole).alias("target_share"),
-        F.when(F.col("blocks") > 0, F.col("listed_share") / usable).otherwise(0.0).alias("attainable_share"),
+        F.when(F.col("usable"), F.col("listed_share") / usable).otherwise(0.0).alias("attainable_share"),
         (F.col("used_tokens") / F.col("total_tokens")).alias("actual_share"),
         "max_repeats", "most_uses", "available_tokens", "used_tokens", "n_texts", "blocks",
     )

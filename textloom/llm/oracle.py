@@ -38,6 +38,27 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT 'segmented_sources', source_id, c.chapter_index FROM (SELECT source_id, unnest(chapters) AS c FROM segmented_sources)
             WHERE length(c.content) > 4000""",
+        "p3_coverage": """
+            SELECT DISTINCT origin, item_id, chapter_index, length(content) AS covered, true AS within, true AS overlapping FROM (
+                SELECT 'chapters' AS origin, chapter_id AS item_id, chapter_index, content FROM chapters
+                UNION ALL SELECT 'segmented_sources', source_id, c.chapter_index, c.content FROM (SELECT source_id, unnest(chapters) AS c FROM segmented_sources))
+            WHERE length(content) > 4000""",
+        "p6_values": f"""
+            WITH RECURSIVE {_EDGES},
+            t AS (SELECT lower(source_type) AS kind, min(trust_rank) AS r FROM source_trust GROUP BY 1),
+            k AS (SELECT DISTINCT g.group_id, c.chapter_id, coalesce(length(c.content), -1) AS n, c.content, c.score, c.scored_at, c.source_file, coalesce(t.r, 2147483647) AS r
+                  FROM g JOIN chapters c USING (chapter_id)
+                  LEFT JOIN t ON t.kind = lower(regexp_extract(c.source_file, '\\.([\\p{{L}}\\p{{N}}]+)\\s*$', 1))),
+            p AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, chapter_id) AS a, row_number() OVER (PARTITION BY group_id ORDER BY r, chapter_id) AS b,
+                         CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY group_id, score IS NULL ORDER BY scored_at DESC NULLS LAST, chapter_id) END AS c FROM k)
+            SELECT group_id, max(CASE WHEN a = 1 THEN md5(content) END) AS content_md5, max(CASE WHEN c = 1 THEN score END) AS score, max(CASE WHEN b = 1 THEN source_file END) AS source_file
+            FROM p GROUP BY group_id""",
+        "p9_sources": """
+            WITH t AS (SELECT source, max(target_share) AS share, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+            x AS (SELECT text, arg_min(source, doc_id) AS source FROM documents WHERE source IN (SELECT source FROM t) AND regexp_matches(coalesce(text, ''), '[^\\s\\p{Z}\\x{85}]') GROUP BY text),
+            h AS (SELECT source, count(*) AS n FROM x GROUP BY 1), u AS (SELECT t.*, h.n > 0 AND share > 0 AND max_repeats > 0 AS usable FROM t LEFT JOIN h USING (source))
+            SELECT source, round(share / (SELECT sum(share) FROM t), 9) AS target_share, max_repeats,
+                   round(CASE WHEN usable THEN share / (SELECT sum(share) FROM u WHERE usable) ELSE 0e0 END, 9) AS attainable_share FROM u""",
         "p4_found": f"WITH {_FILES} SELECT file_id, CASE WHEN first[1] = 1 THEN 'incoming_files' ELSE 'kb_entries' END AS match_origin, first[2] AS match_id FROM m",
         "p6_found": f"""
             WITH RECURSIVE {_EDGES},

@@ -47,6 +47,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("n_pieces > 1").distinct()
 
 
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Do the pieces of each long content cover it, within the limit and with the overlap asked for."""
+    p = _pieces(spark, d).where("n_pieces > 1").distinct()
+    back = F.when(F.col("piece_no") > 0, F.col("overlap").between(pieces.OVERLAP - pieces.OVERLAP // 5, pieces.OVERLAP + pieces.OVERLAP // 5)).otherwise(F.col("overlap") == 0)
+    return p.groupBy("origin", "item_id", "chapter_index").agg(
+        F.sum(F.col("end") - F.col("start") - F.col("overlap")).alias("covered"), F.max(F.length("text")).alias("longest"), F.bool_and(back & (F.length("text") == F.col("end") - F.col("start"))).alias("overlapping")
+    ).select("origin", "item_id", "chapter_index", "covered", (F.col("longest") <= pieces.LIMIT).alias("within"), "overlapping")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeated_files(texts(spark, d, "kb_entries"), texts(spark, d, "incoming_files"))
 
@@ -70,6 +79,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "chapters"), _groups(spark, d), table(spark, d, "source_trust"))
 
 
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """The values that each group's record takes over."""
+    r = survivors.records(table(spark, d, "chapters"), _groups(spark, d), table(spark, d, "source_trust"))
+    return r.select("group_id", F.md5("content").alias("content_md5"), "score", "source_file")
+
+
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return survivors.records(table(spark, d, "chapters"), _groups(spark, d), table(spark, d, "source_trust"))
 
@@ -102,6 +117,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(texts(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The listed sources' shares of the sum of the shares, their caps and the distinct texts they have."""
+    report = mixture.mix(texts(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return report.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", F.round("attainable_share", 9).alias("attainable_share"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_areas(texts(spark, d, "documents"), table(spark, d, "subject_samples"), table(spark, d, "subject_areas"))
 
@@ -111,4 +132,4 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_records, p6_sources, p7_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_pieces, p3_coverage, p4_found, p5_found, p5_forms, p6_found, p6_values, p6_records, p6_sources, p7_found, p8_found, p8_items, p9_mix, p9_shares, p9_sources, p10_found, p10_composition)}
