@@ -220,10 +220,10 @@ class History:
             old = self._table("keys", self.KEY_ROWS, ranges).select(*columns, block).join(own.select("no", block).distinct(), ["no", "block"], "left_semi")
             near = near.unionByName(old.withColumn("fresh", F.lit(False)))
         order = Window.partitionBy("no", "block").orderBy("key", "age")
-        before = F.array(*(F.lag(F.struct("age", "slot", "b0", "b1", "fresh"), k).over(order) for k in range(1, WINDOW + 1)))
+        before = F.array_compact(F.array(*(F.lag(F.struct("age", "slot", "b0", "b1", "fresh"), k).over(order) for k in range(1, WINDOW + 1))))
         # more rows that agree in two minima than a window holds
         deep = F.coalesce(F.shiftrightunsigned(F.lag("key", WINDOW + 1).over(order), 21) == F.shiftrightunsigned("key", 21), F.lit(False))
-        around = near.withColumns({"before": before, "deep": deep}).select("age", "slot", "b0", "b1", "fresh", F.posexplode("before").alias("k", "o"), "no", prefix, "deep")
+        around = near.withColumns({"before": before, "deep": deep}).where(F.size("before") > 0).select("age", "slot", "b0", "b1", "fresh", F.posexplode("before").alias("k", "o"), "no", prefix, "deep")
         alike = (F.col("fresh") | F.col("o.fresh")) & _alike(F.col("b0"), F.col("b1"), F.col("o.b0"), F.col("o.b1"))
         met = around.withColumn("crowded", F.col("deep") & (F.col("k") == 0)).withColumn("alike", F.coalesce(alike, F.lit(False))).where("alike or crowded")
         later = F.col("age") > F.col("o.age")
