@@ -581,10 +581,26 @@ def test_terms_of_distinct_texts(spark):
     areas = spark.createDataFrame([("law",), ("sport",), ("music",)], "subject string")
     more = [f"Das Tor und der Pokal {rng.random()}. Ein Pokal steht am Tor. Der alte Hut ist nass." for _ in range(5)]
     df = spark.createDataFrame(list(enumerate(docs + more + [None, ""])), "doc_id long, text string")
-    sent, joined = ({tuple(r) for r in subjects.subject_areas(df, sm, areas, most=k).collect()} for k in (50_000, 0))
+    df = df.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).withColumn("odds", F.lit("clash"))
+    sent, joined = ({tuple(r) for r in subjects.subject_areas(df, sm, areas, most=k, most_sources=k).collect()} for k in (50_000, 0))
     assert sent == joined and {(k, "law") for k in range(4)} <= sent
 
 
+def test_source_odds(spark, monkeypatch):
+    """A source whose documents deal with one subject makes that likelier where the text leaves it open; joined odds give what sent ones give."""
+    counts = spark.createDataFrame([(1, "recht", 0, 90), (1, "recht", 2, 100), (1, "sport", 1, 90), (1, "sport", 2, 100), (0, "wort", 0, 5)], "kind int, word string, label int, n long")
+    got = {r["source"]: r for r in subjects.source_odds(counts, 2).collect()}
+    assert got["recht"]["n"] == 100 and got["recht"]["odds"][0] > 1 > -1 > got["recht"]["odds"][1] and got["sport"]["odds"][1] > 1
+    labels = np.array([[True, False], [False, True]] * 200)
+    drawn = subjects.draw_sources(labels, [(r["n"], r["shares"], r["odds"]) for r in got.values()], np.random.default_rng(1))
+    assert (np.sign(drawn[:, 0]) == np.where(labels[:, 0], 1, -1)).mean() > 0.9 and subjects.draw_sources(labels, [], None) is None
+    features, count = np.zeros((400, 2, 4)), np.full(400, 8)
+    features[:, :, 0], features[:, :, 1], features[:, :, 3] = 0.25, 2, 2
+    chain = subjects.Chain(2).fit(subjects.with_odds(features, drawn), count, labels, np.arange(400) % 3 == 0)
+    assert (chain.decode(subjects.with_odds(features, drawn), count) == labels).mean() > 0.9
+    assert (chain.decode(subjects.with_odds(features, None), count) == labels).mean() < 0.8
+
+
 def test_held_out_accuracy(spark, data):
     rows = [(r["subject"], r["text"]) for r in spark.read.parquet(f"{data}/subject_samples.parquet").orderBy("sample_id").collect()]
     names, terms = subjects.sample_terms(rows[::2])

@@ -6,11 +6,13 @@ words keep to documents of one subject: these become the term features, and word
 only chance put into one subject's samples drop out. A sentence deals with a subject if
 it has one of its terms.
 
-Structure comes second: a document is described, per subject, by the share of its text in
-such sentences, their number, the share between the first and the last of them and the
-document's length. A chain of logistic classifiers, one per subject, sees these and the labels before it in the
+Structure and source come second: a document is described, per subject, by the share of
+its text in such sentences, their number, the share between the first and the last of
+them, the number of its terms, the document's length, and the log odds of the subject
+among the documents of its source, by the first guess over all texts. A chain of logistic classifiers, one per subject, sees these and the labels before it in the
 chain, so that subjects that occur together, or rule each other out, are modelled. The
-chains are trained on documents composed of the samples' sentences, whose shares are known,
+chains are trained on documents composed of the samples' sentences, whose shares are known
+and whose sources are drawn as likely as such documents come from them,
 calibrated on others that were held out, and decoded with a beam of label combinations.
 """
 
@@ -39,6 +41,10 @@ SAMPLE_COUNT, SAMPLE_PURITY, CORPUS_COUNT, CORPUS_PURITY = 2, 0.9, 3, 0.6
 #: First guess: so much of the text, and so many sentences.
 GUESS_SHARE, GUESS_SENTENCES = 0.3, 2
 COMPOSED = 6000
+#: So many sources' odds are sent to the tasks (more are joined), and the largest so many are drawn from in training.
+SENT_SOURCES, DRAWN_SOURCES = 50_000, 1_000
+#: Documents that a source is given beside its own, as the whole corpus has them.
+SOURCE_PRIOR = 20.0
 BEAM = 4
 QUARTER = 0.25
 FRONT = r"^---[ \t]*\n(?s:.*?)\n---[ \t]*(?:\n|$)"
@@ -76,34 +82,35 @@ class Tokens:
         self.of = self.doc[begins][some] if n else np.zeros(0, np.int64)
 
     def evidence(self, terms: dict[str, int], subjects: int) -> np.ndarray:
-        """Sentences by subjects: does the sentence have a term of the subject."""
+        """Sentences by subjects: how many terms of the subject the sentence has."""
         by = np.array([terms.get(w, -1) for w in self.words], np.int64)
-        out = np.zeros((len(self.size), subjects), bool)
-        if len(self.code):
-            hit = by[self.code]
-            ok = (hit >= 0) & (self.sentence >= 0)
-            out[self.sentence[ok], hit[ok]] = True
-        return out
+        n = len(self.size)
+        if not len(self.code):
+            return np.zeros((n, subjects), np.int64)
+        hit = by[self.code]
+        ok = (hit >= 0) & (self.sentence >= 0)
+        return np.bincount(self.sentence[ok] * subjects + hit[ok], minlength=n * subjects).reshape(n, subjects)
 
     def describe(self, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return describe(evidence, self.size, self.of, self.docs)
 
 
 def describe(evidence: np.ndarray, size: np.ndarray, of: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features by document and subject (share, sentences, extent), and the number of sentences."""
+    """Features by document and subject (share, sentences, extent, terms), and the number of sentences."""
     total = np.maximum(np.bincount(of, weights=size, minlength=docs), 1e-9)
     count = np.bincount(of, minlength=docs)
     k = evidence.shape[1]
     ends = np.cumsum(size)
     first_of = np.searchsorted(of, np.arange(docs))
     base = np.concatenate([[0.0], ends])[first_of] if len(size) else np.zeros(docs)
-    out = np.zeros((docs, k, 3))
+    out = np.zeros((docs, k, 4))
     for j in range(k):
         on = np.flatnonzero(evidence[:, j])
         if not len(on):
             continue
         out[:, j, 0] = np.bincount(of[on], weights=size[on], minlength=docs) / total
         out[:, j, 1] = np.bincount(of[on], minlength=docs)
+        out[:, j, 3] = np.bincount(of[on], weights=evidence[on, j], minlength=docs)
         first = np.full(docs, np.inf)
         last = np.full(docs, -np.inf)
         np.minimum.at(first, of[on], ends[on] - size[on])
@@ -133,10 +140,15 @@ def distinct_texts(documents: DataFrame) -> DataFrame:
     return documents.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"))
 
 
-def corpus_terms(documents: DataFrame, subjects: list[str], first: dict[str, int]) -> DataFrame:
-    """Rows word, label: words that keep to texts of one subject, by counts over all distinct texts."""
+def corpus_counts(documents: DataFrame, subjects: list[str], first: dict[str, int]) -> DataFrame:
+    """Rows kind, word, label, n over all distinct texts: how many guessed to be of the label have the word (kind 0), or come from the source (kind 1).
+
+    The label beyond the subjects is that of texts of none; texts of several give no words, but count for their source once each.
+    """
     k = len(subjects)
     sent = documents.sparkSession.sparkContext.broadcast(first)
+    source = F.min("source") if "source" in documents.columns else F.lit(None).cast("string")
+    texts = documents.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), source.alias("source")).select("text", "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +162,40 @@ def corpus_terms(documents: DataFrame, subjects: list[str], first: dict[str, int
             ok = label[doc] >= 0
             cell, count = np.unique(word[ok] * (k + 1) + label[doc[ok]], return_counts=True)
             words = pa.array(t.words, pa.string()).take(pa.array(cell // (k + 1)))
-            yield pa.RecordBatch.from_arrays([words, pa.array((cell % (k + 1)).astype(np.int32)), pa.array(count.astype(np.int64))], names=["word", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), np.int32)), words, pa.array((cell % (k + 1)).astype(np.int32)), pa.array(count.astype(np.int64))], names=["kind", "word", "label", "n"])
+            sources = batch.column("source").dictionary_encode()
+            code = sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            d, j = np.nonzero(np.column_stack([guess, np.ones(len(guess), bool)]) & (code >= 0)[:, None])
+            cell, count = np.unique(code[d].astype(np.int64) * (k + 1) + j, return_counts=True)  # under the last label all its texts
+            names = sources.dictionary.cast(pa.string()).take(pa.array(cell // (k + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(cell), np.int32)), names, pa.array((cell % (k + 1)).astype(np.int32)), pa.array(count.astype(np.int64))], names=["kind", "word", "label", "n"])
+
+    rows = texts.mapInArrow(run, "kind int, word string, label int, n long").where((F.col("kind") == 1) | (~F.col("word").rlike(r"\p{N}") & (F.length("word") > 0)))
+    return rows.groupBy("kind", "word", "label").agg(F.sum("n").alias("n"))
 
-    rows = distinct_texts(documents).select("text").mapInArrow(run, "word string, label int, n long").where(~F.col("word").rlike(r"\p{N}") & (F.length("word") > 0))
-    labels = rows.groupBy("word", "label").agg(F.sum("n").alias("n"))
-    best = labels.groupBy("word").agg(F.sum("n").alias("all"), F.max(F.when(F.col("label") < k, F.struct("n", "label"))).alias("best"))
+
+def term_labels(counts: DataFrame, k: int) -> DataFrame:
+    """Rows word, label: words that keep to texts of one subject."""
+    best = counts.where("kind = 0").groupBy("word").agg(F.sum("n").alias("all"), F.max(F.when(F.col("label") < k, F.struct("n", "label"))).alias("best"))
     return best.where((F.col("best.n") >= CORPUS_COUNT) & (F.col("best.n") >= CORPUS_PURITY * F.col("all"))).select("word", "best.label")
 
 
+def corpus_terms(documents: DataFrame, subjects: list[str], first: dict[str, int]) -> DataFrame:
+    """Rows word, label by counts over all distinct texts."""
+    return term_labels(corpus_counts(documents, subjects, first), len(subjects))
+
+
+def source_odds(counts: DataFrame, k: int) -> DataFrame:
+    """Rows source, n, shares and odds by subject: the share of the source's texts that deal with it, and its log odds against the whole corpus."""
+    s = counts.where("kind = 1")
+    by = s.groupBy(F.col("word").alias("source")).agg(*(F.sum(F.when(F.col("label") == j, F.col("n")).otherwise(0)).alias(f"c{j}") for j in range(k + 1)))
+    whole = by.agg(*(F.sum(f"c{j}").alias(f"w{j}") for j in range(k + 1)))  # one row
+    base = [(F.col(f"w{j}") + 1) / (F.col(f"w{k}") + 2) for j in range(k)]
+    share = [(F.col(f"c{j}") + SOURCE_PRIOR * base[j]) / (F.col(f"c{k}") + SOURCE_PRIOR) for j in range(k)]
+    logit = lambda p: F.log(p) - F.log1p(-p)
+    return by.join(F.broadcast(whole)).select("source", F.col(f"c{k}").alias("n"), F.array(*share).alias("shares"), F.array(*(logit(p) - logit(b) for p, b in zip(share, base))).alias("odds"))
+
+
 def with_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of ``texts`` that have a term, with their terms as an array of word and label."""
 
@@ -195,6 +233,8 @@ class Chain:
             4 * own[:, 2],
             np.log1p(count),
             4 * own[:, 1] / np.maximum(count, 1),
+            np.log1p(own[:, 3]),
+            np.clip(own[:, 4], -4, 4),
             before.sum(axis=1),
             shares.sum(axis=1),
         ])
@@ -247,7 +287,22 @@ class Chain:
         return labels[:, 0, :]
 
 
-def compose(samples: list[tuple[str, str]], subjects: list[str], terms: dict[str, int], n: int = COMPOSED, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def with_odds(features: np.ndarray, odds: np.ndarray | None) -> np.ndarray:
+    """Adds the log odds of the documents' sources to their features; without sources they are nought."""
+    return np.concatenate([features, (np.zeros(features.shape[:2]) if odds is None else odds)[:, :, None]], axis=2)
+
+
+def draw_sources(labels: np.ndarray, sources: list[tuple[int, list[float], list[float]]], rng: np.random.Generator) -> np.ndarray | None:
+    """Log odds of a source for each composed document, drawn as likely as a document of these labels comes from it."""
+    if not sources:
+        return None
+    shares, odds = np.array([x[1] for x in sources]), np.array([x[2] for x in sources])
+    weight = np.log([x[0] for x in sources])[None, :] + labels @ np.log(shares).T + ~labels @ np.log1p(-shares).T
+    weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    return odds[(rng.random(len(labels))[:, None] * weight[:, -1:] > weight).sum(axis=1)]
+
+
+def compose(samples: list[tuple[str, str]], subjects: list[str], terms: dict[str, int], n: int = COMPOSED, seed: int = 7, sources: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, sentence counts and labels of documents made of the samples' sentences.
 
     A document has no to three sections of one subject each, at least a quarter of the text,
@@ -259,7 +314,7 @@ def compose(samples: list[tuple[str, str]], subjects: list[str], terms: dict[str
     found = t.evidence(terms, k)
     own = np.array([subjects.index(s) for s, _ in samples])[t.of] if len(t.of) else np.zeros(0, int)
     on = [np.flatnonzero(own == j) for j in range(k)]
-    sure = [np.flatnonzero((own == j) & found[np.arange(len(own)), own]) for j in range(k)]
+    sure = [np.flatnonzero((own == j) & (found[np.arange(len(own)), own] > 0)) for j in range(k)]
     plain = np.flatnonzero(~found.any(axis=1))
     if not len(plain):
         plain = np.arange(len(own))
@@ -286,24 +341,33 @@ def compose(samples: list[tuple[str, str]], subjects: list[str], terms: dict[str
         of += [d] * len(rows)
     picks, of = np.array(picks, int), np.array(of, int)
     features, count = describe(found[picks], t.size[picks], of, n)
-    return features, count, labels
+    return with_odds(features, draw_sources(labels, sources or [], rng)), count, labels
 
 
-def subject_areas(documents: DataFrame, samples: DataFrame, areas: DataFrame, most: int = SENT_TERMS) -> DataFrame:
+def subject_areas(documents: DataFrame, samples: DataFrame, areas: DataFrame, most: int = SENT_TERMS, most_sources: int = SENT_SOURCES) -> DataFrame:
     """Rows doc_id, subject, each once: the subjects of each document, for many of them none.
 
     ``samples`` has subject and text; those whose subject isn't among ``areas`` count for
     nothing, as null and blank ones do. Null, empty and blank documents have no subject;
-    without samples no document has. More than ``most`` terms are joined, not sent.
+    without samples no document has. A null source, or none, says nothing. More than
+    ``most`` terms, or ``most_sources`` sources, are joined, not sent.
     """
     spark = documents.sparkSession
     known = samples.where(filled("text")).join(areas.select("subject").distinct(), "subject", "left_semi").select("subject", "text").distinct()
     rows = sorted((r["subject"], r["text"]) for r in known.orderBy(F.xxhash64("text"), "subject").limit(MAX_SAMPLES).collect())
     if not rows:
         return spark.createDataFrame([], "doc_id long, subject string")
-    texts = documents.where(filled("text") & F.col("doc_id").isNotNull()).select("doc_id", F.regexp_replace("text", FRONT, "").alias("text"))
+    texts = documents.where(filled("text") & F.col("doc_id").isNotNull()).select("doc_id", F.regexp_replace("text", FRONT, "").alias("text"), F.col("source") if "source" in documents.columns else F.lit(None).cast("string").alias("source"))
     subjects, first = sample_terms(rows)
-    vocabulary = Workspace(spark, "subjects").put(corpus_terms(texts, subjects, first), "terms")
+    ws = Workspace(spark, "subjects")
+    counts = ws.put(corpus_counts(texts, subjects, first), "counts")
+    vocabulary = ws.put(term_labels(counts, len(subjects)), "terms")
+    odds = ws.put(source_odds(counts, len(subjects)), "sources")
+    drawn = [(r["n"], r["shares"], r["odds"]) for r in odds.orderBy(F.desc("n"), "source").limit(DRAWN_SOURCES).collect()]
+    looked_up = odds.count() > most_sources
+    if looked_up:
+        texts = texts.join(odds.select("source", "odds"), "source", "left")
+    by_source = {} if looked_up else {r["source"]: r["odds"] for r in odds.select("source", "odds").collect()}
     joined = vocabulary.count() > most
     if joined:  # the samples need the terms among their own words only
         own = spark.createDataFrame([(w,) for w in Tokens(pa.array([text for _, text in rows], pa.string())).words], "word string")
@@ -311,19 +375,22 @@ def subject_areas(documents: DataFrame, samples: DataFrame, areas: DataFrame, mo
     terms = {r["word"]: r["label"] for r in (vocabulary.join(own, "word") if joined else vocabulary).collect()}
     if not joined and not terms:  # terms that no document shows are as good as the samples make them
         terms = first
-    features, count, labels = compose(rows, subjects, terms)
+    features, count, labels = compose(rows, subjects, terms, sources=drawn)
     held = np.arange(len(labels)) % 3 == 0
     chain = Chain(len(subjects)).fit(features, count, labels, held)
-    sent = spark.sparkContext.broadcast((subjects, {} if joined else terms, chain))
+    sent = spark.sparkContext.broadcast((subjects, {} if joined else terms, chain, by_source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subjects, terms, chain = sent.value
+        subjects, terms, chain, by_source = sent.value
+        nothing = [0.0] * len(subjects)
         for batch in batches:
             t = Tokens(batch.column("text"))
             if joined:
                 flat = batch.column("terms").flatten()
                 terms = dict(zip(flat.field("word").to_pylist(), flat.field("label").to_pylist()))
             features, count = t.describe(t.evidence(terms, len(subjects)))
+            known = batch.column("odds").to_pylist() if looked_up else map(by_source.get, batch.column("source").to_pylist())
+            features = with_odds(features, np.array([o or nothing for o in known], float).reshape(t.docs, len(subjects)))
             some = features[:, :, 0].any(axis=1)
             out = np.zeros((t.docs, len(subjects)), bool)
             if some.any():
