@@ -38,17 +38,22 @@ def shared_elements(*sides: DataFrame) -> list[DataFrame]:
 
 
 def prefix(shared: DataFrame, threshold: float) -> DataFrame:
-    """Rows id, n, element: of each set's elements the rarest that a join at the threshold needs."""
+    """Rows id, n, element, rank: of each set's elements the rarest that a join at the threshold needs, the rarest first."""
     own = Window.partitionBy("id")
     ranked = shared.withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "element")))
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "element")
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "element", "rank")
 
 
 def met(left: DataFrame, right: DataFrame | None, threshold: float, *keys: str) -> DataFrame:
-    """Pairs (a, b) of prefixes that share the keys and have sizes the threshold allows; of one table, a < b."""
-    x = left.select(F.col("id").alias("a"), F.col("n").alias("na"), *keys)
-    y = (left if right is None else right).select(F.col("id").alias("b"), F.col("n").alias("nb"), *keys)
-    near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    """Pairs (a, b) of prefixes that share the keys, and with sizes and ranks that the threshold allows; of one table, a < b.
+
+    At the rarest element that two sets share, all they share stands at that rank or behind
+    it in both, so what is left behind it bounds the similarity.
+    """
+    x = left.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), *keys)
+    y = (left if right is None else right).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), *keys)
+    least = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
+    near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= least)
     pairs = x.join(y, list(keys)).where(near)
     return (pairs.where("a < b") if right is None else pairs).select("a", "b").distinct()
 
