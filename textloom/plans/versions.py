@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.plans.common import sql_strip, sql_title, table
+from textloom.session import Workspace
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -40,7 +41,11 @@ def version_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_VERSIONS} SELECT base, arg_max(kb_id, (n, kb_id)) AS winner, max(n) AS body_chars FROM w GROUP BY base HAVING count(*) > 1")
 def version_winner(spark: SparkSession, d: str) -> DataFrame:
     """The version with the longest body, of equals the highest id."""
-    best = versions(spark, d).groupBy("base").agg(F.max(F.struct(F.length("body").alias("n"), "kb_id")).alias("b"), F.count("*").alias("c")).where("c > 1")
+    return _winner(versions(spark, d))
+
+
+def _winner(v: DataFrame) -> DataFrame:
+    best = v.groupBy("base").agg(F.max(F.struct(F.length("body").alias("n"), "kb_id")).alias("b"), F.count("*").alias("c")).where("c > 1")
     return best.select("base", F.col("b.kb_id").alias("winner"), F.col("b.n").alias("body_chars"))
 
 
@@ -77,8 +82,12 @@ def unique_lines(spark: SparkSession, d: str) -> DataFrame:
     WHEN base IN (SELECT base FROM x) THEN 'MAJOR_UNIQUE' ELSE 'MAJOR_SUBSET' END AS category FROM g""")
 def dedup_category(spark: SparkSession, d: str) -> DataFrame:
     v = versions(spark, d)
+    return _category(v, _only(v))
+
+
+def _category(v: DataFrame, only: DataFrame) -> DataFrame:
     percent = F.when(F.col("most") > 0, 100.0 * (F.col("most") - F.col("least")) / F.col("most")).otherwise(0.0)
-    some = _only(v).select("base").distinct().withColumn("some", F.lit(True))
+    some = only.select("base").distinct().withColumn("some", F.lit(True))
     category = F.when(F.col("n_bodies") == 1, "IDENTICAL").when(percent < 2, "TRIVIAL").when(percent < 10, "MINOR").when(F.col("some"), "MAJOR_UNIQUE").otherwise("MAJOR_SUBSET")
     return _groups(v).join(some, "base", "left").select("base", category.alias("category"))
 
@@ -88,9 +97,10 @@ def dedup_category(spark: SparkSession, d: str) -> DataFrame:
     SELECT w.kb_id, CASE WHEN w.kb_id = b.winner THEN 'keep' WHEN c.major AND (w.base, w.kb_id) IN (SELECT (base, kb_id) FROM x) THEN 'review' ELSE 'safe' END AS decision FROM w JOIN c USING (base) JOIN b USING (base)""")
 def archive_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of each version: the winner is kept, losers are archived, for review where a major version has lines of its own."""
-    v = versions(spark, d)
-    only = _only(v).select("base", "kb_id").distinct().withColumn("own", F.lit(True))
-    major = dedup_category(spark, d).select("base", (F.col("category") == "MAJOR_UNIQUE").alias("major"))
-    winner = version_winner(spark, d).select("base", "winner")
+    ws = Workspace(spark, "versions")
+    v = ws.put(versions(spark, d), "versions")
+    only = ws.put(_only(v).select("base", "kb_id").distinct().withColumn("own", F.lit(True)), "own")
+    major = _category(v, only).select("base", (F.col("category") == "MAJOR_UNIQUE").alias("major"))
+    winner = _winner(v).select("base", "winner")
     rows = v.select("base", "kb_id").join(major, "base").join(winner, "base").join(only, ["base", "kb_id"], "left")
     return rows.select("kb_id", F.when(F.col("kb_id") == F.col("winner"), "keep").when(F.col("major") & F.col("own").isNotNull(), "review").otherwise("safe").alias("decision"))
