@@ -81,6 +81,8 @@ CODE = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])(?:[\w]+(?:[-_:.]+[\w]+)+|[A-Za-z]+\
 BROKEN = re.compile(r"[�¤¶]|[ÃÂ][\u0080-¿¤¶]|Ã|â€|(?<=[^\W\d_])[?#](?=[^\W\d_])|(?<=\S)#|#(?=\S#)")
 
 
+#: Without these a line isn't broken.
+BROKEN_SIGNS = re.compile("[\ufffd¤¶ÃÂâ?#]")
 #: Signs without which a line of words that ends like a sentence is prose.
 UNUSUAL = re.compile("[{}<>^\t|\ufffd¤¶ÃÂ#]")
 UNUSUAL_RUNS = ("â€", "....", ". . . .")
@@ -114,30 +116,31 @@ class Line:
     def __init__(self, line: str):
         self.bare = bare = line.strip()
         self.tokens = tokens = bare.split()
-        words = WORD.findall(bare)
+        words = WORD.findall(bare.lower())
         self.words = len(words)
-        self.letters = sum(map(len, words))
-        self.visible = sum(map(len, tokens))
-        self.votes = [v for v in map(_LANGUAGES_OF.get, map(str.lower, words)) if v]
+        self.letters = len("".join(words))
+        self.visible = len("".join(tokens))
+        self.votes = [_LANGUAGES_OF[w] for w in words if w in _LANGUAGES_OF]
         self.common = len(self.votes)
         self.singles = sum(map(_single, [t for t in tokens if len(t) <= 2]))
         self.ended = bare.rstrip(QUOTES)[-1:] in ENDS
         self.stops = sum(map(ends_sentence, [t for t in tokens if t[-1] in STOPS]))
-        kind = self._kind(line, words)
+        kind = self._kind(line)
         self.doubtful = kind[-1] == "?"
         self.kind = kind.rstrip("?")
         self.alone = self.kind == "list" and len(tokens) <= 3 and not (MARK.match(bare) or LINK.match(bare) or LEADERS.search(bare) or ENTRY.match(bare))
 
-    def _kind(self, line: str, words: list[str]) -> str:
+    def _kind(self, line: str) -> str:
         """prose, list, table or junk; with a question mark where a line of prose might look the same."""
         bare, tokens, common, letters, visible = self.bare, self.tokens, self.common, self.letters, self.visible
         n = len(tokens)
-        longest = max(map(len, tokens))
         stop = bare[-1] in STOPS and ends_sentence(bare)
-        if stop and common >= 2 and 4 * common >= n and visible >= 4 * n and 2 * letters > visible and longest < 32 and bare.count(";") < 2 and not UNUSUAL.search(bare) and not any(r in bare for r in UNUSUAL_RUNS) and not ("?" in bare and ASKED.search(bare)) and not NUMBERED.match(bare):
-            return "prose"
+        if stop and common >= 2 and 4 * common >= n and visible >= 4 * n and 2 * letters > visible and bare.count(";") < 2 and not UNUSUAL.search(bare) and not any(r in bare for r in UNUSUAL_RUNS) and not ("?" in bare and ASKED.search(bare)) and not NUMBERED.match(bare):
+            if max(map(len, tokens)) < 32:
+                return "prose"
+        longest = max(map(len, tokens))
         numbered = DIGIT.search(bare) is not None
-        broken = len(BROKEN.findall(bare)) if letters < visible else 0
+        broken = len(BROKEN.findall(bare)) if letters < visible and BROKEN_SIGNS.search(bare) else 0
         if broken >= 2 and broken >= 0.04 * len(bare):
             return "junk"
         if ("{" in bare or "}" in bare) and CSS.search(bare) or ("<" in bare or ">" in bare or "^" in bare) and MENU.search(bare):
@@ -172,7 +175,7 @@ class Line:
             return "list" if not stop or bare[-2:-1].isdigit() else "prose"
         if COLUMNS.search(bare) and common <= n / 5:
             return "table"
-        if any(bare.count(s) >= 4 and n <= 2 * bare.count(s) + 4 and common <= n / 6 for s in SEPARATORS):
+        if n >= 5 and 6 * common <= n and any(bare.count(s) >= 4 and n <= 2 * bare.count(s) + 4 for s in SEPARATORS):
             return "list?"
         if ENTRY.match(bare) and n <= 10 and not stop:
             return "list?"
